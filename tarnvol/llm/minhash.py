@@ -277,5 +277,11 @@ def near_components(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != LAST, component).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
+def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns; rows without a doc_id always do."""
+    gone = near_components(docs, words, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir))

@@ -199,12 +199,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[R
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the base rule and the learned list keep, all columns."""
-    stats = stage(measure(key_and_text(docs)).drop("text"), "statistics")
+    """The rows of ``docs`` that the base rule and the learned list keep, all columns.
+
+    Decisions are staged first: a filter over the array expressions would be pushed into
+    them and split every text again for each word.
+    """
+    hashed = key_and_text(docs).withColumn("_key", F.xxhash64("text"))
+    stats = stage(measure(hashed).drop("text"), "statistics")
     rules = learn(labelled(stats, labels))
-    own = [F.col(f"_doc.{c}").alias(c) for c in docs.columns]
-    judged = measure(docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t")), "_t")
-    return judged.where(~F.col("base_failed") & (verdict(rules) == 0)).select(*own)
+    kept = stats.where(~F.col("base_failed") & (verdict(rules) == 0)).select(F.col("doc_id").alias("_k"), "_key").distinct()
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_k")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_key"))
+    return docs.join(kept, own, "left_semi")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import documents, key_and_text
+from ._common import documents, key_and_text, ship
 from .windows import Block, Rule, mark
 
 #: 35 words: windows of 35 consecutive words that start anywhere else; anchors of 8 words.
@@ -58,6 +59,44 @@ def drop_repeated_words(docs: DataFrame, rule: Rule = WORDS) -> DataFrame:
     return mark(key_and_text(docs), rule, finish, "doc_id long, n_words long, n_removed long, kept binary")
 
 
+def cut_repeated_words(docs: DataFrame, rule: Rule = WORDS) -> DataFrame:
+    """``docs``, all columns, with repeated words cut out of ``text``; the white space before them stays.
+
+    A text without such words, or a null one, is unchanged; ``n_chars``, if there is one, follows the text.
+    """
+    ship(docs.sparkSession)
+    schema, names = docs.schema, docs.columns
+
+    def finish(table: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
+        n = len(block.data)
+        change = np.zeros(n + 1, np.int64)
+        until = np.append(block.starts[1:], n)
+        last = np.append(block.of[1:], 0)[np.searchsorted(block.of, np.arange(len(block.starts)), side="right") - 1] - 1 == np.arange(len(block.starts))
+        edge = np.append(block.bounds[1:], n)[np.searchsorted(block.bounds, block.starts, side="right") - 1] if len(block.starts) else until
+        until = np.where(last, edge, until)
+        np.add.at(change, block.starts[gone], 1)
+        np.add.at(change, until[gone], -1)
+        keep = np.cumsum(change)[:n] == 0
+        touched = _sums(block, gone) > 0
+        texts = [block.data[a:b][keep[a:b]].tobytes().decode() for a, b, t in zip(block.bounds[:-1], block.bounds[1:], touched, strict=True) if t]
+        return pa.table([table["row"], pa.array(touched), pa.array(_spread(texts, touched), pa.string())], names=["row", "touched", "kept"])
+
+    held = key_and_text_with(docs)
+    out = mark(held, rule, finish, T.StructType([T.StructField("row", held.schema["row"].dataType), T.StructField("touched", T.BooleanType()), T.StructField("kept", T.StringType())]))
+    text = F.when(F.col("touched"), F.col("kept")).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.when(F.col("touched"), F.length("kept")).otherwise(F.col("row.n_chars"))} if "n_chars" in names else {"text": text}
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).cast(schema[c].dataType).alias(c) for c in names))
+
+
+def _spread(texts: list[str], where: np.ndarray) -> list[str | None]:
+    rest = iter(texts)
+    return [next(rest) if w else None for w in where.tolist()]
+
+
+def key_and_text_with(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
+
+
 def drop_earlier_bytes(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes."""
 

@@ -428,7 +428,7 @@ def removed_units(block: Block, answers: pa.Table) -> np.ndarray:
     return np.cumsum(gone)[:n] > 0
 
 
-def mark(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, Block, np.ndarray], pa.Table], schema: str, block_bytes: int = 2 << 20, key_bytes: int = 6 << 20) -> DataFrame:
+def mark(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, Block, np.ndarray], pa.Table], schema, block_bytes: int = 2 << 20, key_bytes: int = 6 << 20) -> DataFrame:
     """``finish(rows of a block, block, removed units)`` over all blocks of ``docs`` (doc_id, text and what ``finish`` wants)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
