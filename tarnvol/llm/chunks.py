@@ -12,13 +12,20 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable
+from itertools import islice
 
 # Unicode White_Space, fixed values.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 _RUNS = tuple(s + " " for s in _SPACES)
 #: Letters up to here are classed alike by every Unicode version of the libraries.
 _PLAIN = "ɏ"
-_LIMIT = 500_000
+_LIMIT = 800_000
+
+
+def _forget(cache: dict) -> None:
+    """Drop the newer half: frequent entries come early."""
+    for key in list(islice(cache, len(cache) // 2, None)):
+        del cache[key]
 
 
 class ChunkEncoder:
@@ -47,7 +54,7 @@ class ChunkEncoder:
         got = self.known.get(piece)
         if got is None:
             if len(self.known) >= _LIMIT:
-                self.known.clear()
+                _forget(self.known)
             got = self.known[piece] = self._pack(self.model(piece))
         return got
 
@@ -72,8 +79,8 @@ class ChunkEncoder:
             pass
         fresh = [c for c in set(rest) if c not in cache]
         if len(cache) + len(fresh) > _LIMIT:
-            cache.clear()
-            fresh = set(rest)
+            _forget(cache)
+            fresh = [c for c in set(rest) if c not in cache]
         for chunk in fresh:
             cache[chunk] = self._chunk(" " + chunk)
         return self._chunk(first) + b"".join(map(cache.__getitem__, rest))
