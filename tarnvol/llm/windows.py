@@ -42,6 +42,8 @@ _POS = 30  # bits of a position in a block
 RESOLVED, ASKED, DEEP = 1, 2, 4
 #: Classes of one k-gram beyond which its windows are dealt by whole-window prefixes.
 DEEP_CLASSES = 4096
+#: Parts into which a key's spans are dealt: a span is some hundred times an entry once it is sorted.
+SPAN_KEYS = 8
 MOVED = "key int, block int, kind int, payload binary"
 _MOVED = pa.schema([("key", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -262,7 +264,7 @@ def send_spans(block: Block, number: int, codes: pa.Table, keys: int) -> pa.Tabl
         return _table([])
     code = _codes(block, codes)
     out = [_rows(number, 1, [(number % keys, code.tobytes())])]
-    length, unit = block.rule.length, 4 if block.rule.words else 1
+    length = block.rule.length
     by_key: dict[int, tuple[list, list]] = {}
     asked = np.flatnonzero(code & ASKED)
     key = dealt(block.h[asked], keys)
@@ -283,21 +285,24 @@ def send_spans(block: Block, number: int, codes: pa.Table, keys: int) -> pa.Tabl
             body.append(block.symbols(a, b + length))
     if by_key:
         out.append(_rows(number, 2, [(k, len(h).to_bytes(4, "little") + np.array(h, _ASK).tobytes() + b"".join(s)) for k, (h, s) in by_key.items()]))
-    del unit
     return _table(out)
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    return (np.unique(x, return_inverse=True)[1] + 1).astype(np.int32)
+
+
 def suffix_array(symbols: np.ndarray, ends: np.ndarray, deepest: int) -> tuple[np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
     """Ranks of all suffixes (each up to its span's end) by prefix doubling, and a common-prefix function from the ranks kept."""
     n = len(symbols)
     at = np.arange(n)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
+    rank = _ranks(symbols)
     levels, step = [(1, rank)], 1
     while step < deepest:
-        later = np.zeros(n, np.int64)
-        inside = at + step < ends
-        later[inside] = rank[at[inside] + step]
-        rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64) + 1
+        inside = np.flatnonzero(at + step < ends)
+        pair = rank * np.int64(n + 1)
+        pair[inside] += rank[inside + step]
+        rank = _ranks(pair)
         step *= 2
         levels.append((step, rank))
 
@@ -428,13 +433,14 @@ def removed_units(block: Block, answers: pa.Table) -> np.ndarray:
     return np.cumsum(gone)[:n] > 0
 
 
-def mark(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, Block, np.ndarray], pa.Table], schema, block_bytes: int = 2 << 20, key_bytes: int = 6 << 20) -> DataFrame:
+def mark(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, Block, np.ndarray], pa.Table], schema, block_bytes: int = 1 << 20, key_bytes: int = 6 << 20) -> DataFrame:
     """``finish(rows of a block, block, removed units)`` over all blocks of ``docs`` (doc_id, text and what ``finish`` wants)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     share = 2 / (rule.length - rule.gram + 2) / (6 if rule.words else 1)
     keys = max(1, round(total * share * 16 / key_bytes))
+    finer = keys * SPAN_KEYS
     width = max(shuffle_width(spark), min(blocks, keys))
     number = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int")
     held = docs.withColumn("block", number).repartition(width, "block")
@@ -446,7 +452,7 @@ def mark(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, Block, np.ndar
         return judge_classes(table, rule.earlier)
 
     def third(key, table, codes):
-        return send_spans(Block(table, rule), key[0].as_py(), codes, keys)
+        return send_spans(Block(table, rule), key[0].as_py(), codes, finer)
 
     def fourth(table):
         return judge_spans(table, rule)
