@@ -59,7 +59,7 @@ def walk_forward_ols(features: DataFrame, keys: Sequence[str], base: Sequence[st
     """Out-of-sample rows of ``features`` with ``rn, block, yhat_base, yhat_alt``."""
     keys = list(keys)
     xs = list(dict.fromkeys([*base, *alt]))
-    z = [F.lit(1.0), *(F.col(c) for c in xs), F.col(y)]
+    z = [F.lit(1.0), *(F.col(c).cast("double") for c in xs), F.col(y)]
     size = len(z)
     rows = with_blocks(features, keys, order, min_train, refit)
     products = [F.sum(z[i] * z[j]).alias(f"_g{i}_{j}") for i in range(size) for j in range(i, size)]
@@ -74,7 +74,7 @@ def walk_forward_ols(features: DataFrame, keys: Sequence[str], base: Sequence[st
     def dot(which: str):
         out = F.col(f"beta.{which}")[0]
         for c in xs:
-            out = out + F.col(f"beta.{which}")[place[c]] * F.col(c)
+            out = out + F.col(f"beta.{which}")[place[c]] * F.col(c).cast("double")
         return out
 
     return joined.withColumns({"yhat_base": dot("base"), "yhat_alt": dot("alt")}).drop("beta")
@@ -82,7 +82,7 @@ def walk_forward_ols(features: DataFrame, keys: Sequence[str], base: Sequence[st
 
 def first_window_coefficient(features: DataFrame, keys: Sequence[str], columns: Sequence[str], of: str, y: str = "y", order: str = "d", min_train: int = MIN_TRAIN) -> DataFrame:
     """Coefficient of ``of`` in the burn-in window of each series."""
-    z = [F.lit(1.0), *(F.col(c) for c in columns), F.col(y)]
+    z = [F.lit(1.0), *(F.col(c).cast("double") for c in columns), F.col(y)]
     size = len(z)
     rows = with_blocks(features, keys, order, min_train).where("block = -1")
     gram = rows.groupBy(*keys).agg(F.count("*").alias("n_train"), F.array(*(F.sum(z[i] * z[j]) for i in range(size) for j in range(i, size))).alias("gram"))

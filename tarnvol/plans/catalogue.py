@@ -555,8 +555,7 @@ def _marked_panel(spark, sf):
 
 @query()
 def panel_study(spark, sf):
-    f = _marked_panel(spark, sf).withColumn("earn_x", F.col("earn").cast("double"))
-    return studies.panel_study(f, KEYS, [*feats.DAILY, "earn_x"])[0]
+    return studies.panel_study(_marked_panel(spark, sf), KEYS, feats.DAILY)[0]
 
 
 @query()

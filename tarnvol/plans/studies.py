@@ -88,6 +88,7 @@ def in_range(rows: DataFrame, first: str | None, last: str | None) -> DataFrame:
 def panel_study(marked: DataFrame, keys: Sequence[str], base: Sequence[str], attention: Sequence[str] = ATTENTION, min_train: int = MIN_TRAIN) -> tuple[DataFrame, DataFrame]:
     """Rows a series (with event statistics and Holm), and the pooled test over dates."""
     keys = list(keys)
+    base = [*base, "earn"]  # without a company no row is flagged, and the coefficient is 0
     fc = walk_forward_ols(marked, keys, base, [*base, *attention], min_train=min_train)
     rows = compare(fc, keys).join(event_compare(fc, "earn", "earn", keys), keys, "left")
     rows = holm(holm(rows, "p_cw"), "earn_p_cw")
@@ -99,8 +100,9 @@ def stock_study(marked: DataFrame, base: Sequence[str], idio: bool, keys: Sequen
     """Single stocks with raw or idiosyncratic attention; pooled, event-stacked and week-clustered tests."""
     keys = list(keys)
     f = idiosyncratic(marked) if idio else marked
+    base = [*base, "earn"]
     fc = walk_forward_ols(f, keys, base, [*base, *ATTENTION], min_train=min_train)
-    rows = compare(fc, keys).join(rv_ratio(f, keys), keys).join(event_compare(fc, "earn", "earn1", keys), keys, "left").join(event_compare(fc, "earn3", "earn3", keys), keys, "left")
+    rows = compare(fc, keys).join(rv_ratio(f, keys).drop("n_earn"), keys).join(event_compare(fc, "earn", "earn1", keys), keys, "left").join(event_compare(fc, "earn3", "earn3", keys), keys, "left")
     for p in ("p_cw", "earn1_p_cw", "earn3_p_cw"):
         rows = holm(rows, p)
     return rows, pooled_tests(fc, keys)
@@ -129,9 +131,9 @@ def reaction_test(losses: DataFrame, first: str | None = None, last: str | None
 
 def replication(marked: DataFrame, base: Sequence[str], first: str | None = None, last: str | None = None, keys: Sequence[str] = ("entity",), min_train: int = MIN_TRAIN) -> tuple[DataFrame, DataFrame]:
     """Rows a stock and the one-row verdict of the registered test."""
-    keys = list(keys)
+    keys, base = list(keys), [*base, "earn"]
     fc = walk_forward_ols(idiosyncratic(marked), keys, base, [*base, *ATTENTION], min_train=min_train)
-    rows = compare(fc, keys).join(rv_ratio(marked, keys), keys).join(event_compare(fc, "earn", "earn1", keys), keys, "left")
+    rows = compare(fc, keys).join(rv_ratio(marked, keys).drop("n_earn"), keys).join(event_compare(fc, "earn", "earn1", keys), keys, "left")
     rows = holm(rows, "earn1_p_cw")
     gains = rows.agg(F.avg("earn1_r2_gain").alias("mean_stock_r2_gain"), F.count_if(F.col("earn1_r2_gain") > 0).alias("n_stocks_positive"), F.count("earn1_p_cw").alias("n_stocks"))
     primary = reaction_test(with_losses(fc), first, last).crossJoin(gains)  # one row by one row
