@@ -8,10 +8,10 @@
   packed signatures by exclusive-or and bit counts, corrected for the ``2**-BITS`` of
   positions that agree by chance; ``margin`` keeps the estimate from losing a link.
 * Round 1: each node is confirmed against the best of its buckets' leaders, one pair a
-  node.  Round 2: pairs of one bucket that are still in different
-  components are estimated (in chunks of bounded size) and confirmed.  A pair already
-  connected needs no check, so large groups of near copies cost a pair a node.
-* Confirmation gathers the full sets of candidate nodes only, dealt by hub and chunk.
+  node, on full sets dealt by hub and chunk.
+* Round 2: nodes of a bucket that are still in different components meet with their
+  full sets, in chunks of bounded size; pairs are estimated and counted inside the task, and
+  only links that join two components leave it.  A pair already connected needs no check.
 
 Edge cases: null text and texts without words have an empty set, no link and
 themselves as component; fewer words than a shingle make one shingle of all; rows
@@ -38,7 +38,7 @@ BANDS, ROWS, BITS = 32, 4, 4
 #: Estimates may lie this far below the threshold: more than four standard errors of 128 positions.
 MARGIN = 0.15
 #: Members of a bucket that one task compares with each other; pairs that one confirming task holds.
-CHUNK, PAIRS = 2048, 1500
+CHUNK, PAIRS = 1024, 1500
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240229)
@@ -139,10 +139,8 @@ def agreement(a: Column, b: Column) -> Column:
     return (1 - other / F.lit(BANDS * ROWS) - chance) / (1 - chance)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are linked."""
-    spark = pairs.sparkSession
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def full_sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """node, shingles (sorted hashes, binary) of the ``needed`` nodes, from their least documents' whole texts."""
     wanted = nodes.join(needed, "node").select("rep", "node")
 
     def sets(batches):
@@ -160,7 +158,14 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, pe
 
     texts = key_and_text(docs).withColumn("id", F.coalesce("doc_id", F.lit(LAST))).join(wanted, F.col("id") == F.col("rep")).select("node", "text")
     # Rows that repeat a doc_id or a text give one set.
-    held = stage(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    return stage(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are linked."""
+    spark = pairs.sparkSession
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    held = full_sets(docs, nodes, needed, words)
     hubs = pairs.groupBy("a").agg(F.count("*").alias("c")).withColumn("chunks", F.ceil(F.col("c") / PAIRS).cast("int"))
     count = pairs.count()
     tasks = max(1, shuffle_width(spark), -(-count // PAIRS))
@@ -191,6 +196,70 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, pe
     return dealt.repartition(tasks, "key").groupBy("key").applyInArrow(compare, "a long, b long")
 
 
+def _between(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect different ``root``s of a ``grp``; rows have node, root, grp, n, sig, bands, shingles.
+
+    Groups are cut into chunks and each two chunks meet in one task, so memory is bounded.
+    A task estimates the pairs that share a band, counts the full sets of those that may be linked,
+    and gives a link only where it joins two parts: never all pairs of a group.
+    """
+    floor = percent / 100 - MARGIN
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("m"))
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    met = rows.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    tasks = max(shuffle_width(rows.sparkSession), -(-rows.count() // CHUNK))
+    met = met.withColumn("task", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(tasks)).cast("int")).drop("m", "other")
+
+    def join(table):
+        grp, i, j, node, root, n, own = (table[c].to_numpy() for c in ("grp", "i", "j", "node", "root", "n", "own"))
+        sig, bands = (np.array(table[c].to_pylist(), np.int64).view(U) for c in ("sig", "bands"))
+        sets = [np.frombuffer(x.as_buffer(), U) for x in table["shingles"]]
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        out_a, out_b = [], []
+        order = np.lexsort((j, i, grp))
+        cut = np.flatnonzero((np.diff(grp[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        for g in np.split(order, cut):
+            one, two = (g, g) if i[g[0]] == j[g[0]] else (g[own[g] == i[g]], g[own[g] == j[g]])
+            for at, x in enumerate(one):
+                y = two[at + 1 :] if one is two else two
+                y = y[root[y] != root[x]]
+                y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
+                if len(y):
+                    d = sig[y] ^ sig[x]
+                    d |= d >> U(1)
+                    d |= d >> U(2)
+                    other = np.bitwise_count(d & U(0x1111111111111111)).sum(1)
+                    score = (1 - other / (BANDS * ROWS) - 2.0**-BITS) / (1 - 2.0**-BITS)
+                    y = y[score >= floor]
+                y = y[(bands[y] == bands[x]).any(1)] if len(y) else y
+                for k in range(0, len(y), 64):
+                    mine = find(int(root[x]))
+                    some = [z for z in y[k : k + 64] if find(int(root[z])) != mine]
+                    if not some:
+                        continue
+                    flat = np.concatenate([sets[z] for z in some])
+                    size = np.array([len(sets[z]) for z in some])
+                    where = np.minimum(np.searchsorted(sets[x], flat), len(sets[x]) - 1)
+                    both = np.add.reduceat(sets[x][where] == flat, np.cumsum(size) - size, dtype=np.int64)
+                    for z in np.array(some)[100 * both >= percent * (len(sets[x]) + size - both)]:
+                        a, b = find(int(root[x])), find(int(root[z]))
+                        if a != b:
+                            parent[a] = b
+                            out_a.append(node[x])
+                            out_b.append(node[z])
+        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return stage(met.repartition(tasks, "task").groupBy("task").applyInArrow(join, "a long, b long"), "more")
+
+
 def near_components(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; documents with ``100 * intersection >= percent * union`` are linked."""
     spark = docs.sparkSession
@@ -202,8 +271,9 @@ def near_components(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     nodes = stage(some.join(classes, "node").where("id = rep").dropDuplicates(["node"]).select("node", "rep", "n", "sig", "bands"), "nodes")
     slim = nodes.select("node", "n", "sig")
 
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("leader")).where("m > 1")
+    member = nodes.select("node", "rep", F.explode("bands").alias("bucket"))
+    # The leader is the least document: where copies were made from one text, most likely that text.
+    shared = member.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct("rep", "node")).alias("l")).where("m > 1").select("bucket", F.col("l.node").alias("leader"))
     member = stage(member.join(shared, "bucket"), "members")
 
     def close(na: Column, nb: Column) -> Column:
@@ -218,52 +288,13 @@ def near_components(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     root = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # Round 2: what shares a bucket and is not yet connected.
-    named = member.select("bucket", "node", "m").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-    open_ = named.join(mixed, "bucket", "left_semi").join(slim, "node")
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    # A chunk meets every chunk of its bucket once; nearly all buckets are one chunk.
-    met = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    share = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(1 << 20)).cast("int")
-    met = met.select("bucket", "i", "j", "own", "node", "root", "n", "sig", share.alias("share"))
-    tasks = max(shuffle_width(spark), 1)
-
-    def estimate(batches):
-        for batch in batches:
-            bucket, i, j = (batch[c].to_numpy() for c in ("bucket", "i", "j"))
-            node, root, n, own = (batch[c].to_numpy() for c in ("node", "root", "n", "own"))
-            sig = np.stack([np.asarray(x) for x in batch["sig"].to_numpy(zero_copy_only=False)]).view(U) if batch.num_rows else np.zeros((0, 8), U)
-            order = np.lexsort((j, i, bucket))
-            cut = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
-            out_a, out_b = [], []
-            for g in np.split(order, cut):
-                one, two = (g, g) if i[g[0]] == j[g[0]] else (g[own[g] == i[g]], g[own[g] == j[g]])
-                for x in one:
-                    y = two[(root[two] != root[x]) & (node[two] > node[x] if one is two else True)]
-                    small, large = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
-                    y = y[small * 100 >= large * percent]
-                    if not len(y):
-                        continue
-                    d = sig[y] ^ sig[x]
-                    d |= d >> U(1)
-                    d |= d >> U(2)
-                    other = np.bitwise_count(d & U(0x1111111111111111)).sum(1)
-                    score = (1 - other / (BANDS * ROWS) - 2.0**-BITS) / (1 - 2.0**-BITS)
-                    y = y[score >= floor]
-                    out_a.append(np.minimum(node[y], node[x]))
-                    out_b.append(np.maximum(node[y], node[x]))
-            a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def together(table):
-        return pa.Table.from_batches(list(estimate([table.combine_chunks()]))) if table.num_rows else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-
-    found = met.withColumn("task", F.pmod("share", F.lit(4 * tasks))).repartition(tasks, "task").groupBy("task").applyInArrow(together, "a long, b long").distinct()
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stage(found.join(tested, ["a", "b"], "left_anti"), "second")
-    more = stage(_confirm(second, docs, ids, words, percent), "more")
+    named = member.select("bucket", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("first")).where("x != y").select("bucket", "first")
+    open_ = stage(named.join(mixed, "bucket").select("node", "root", "first"), "open")
+    group = components(open_.select(F.col("node").alias("u"), F.col("first").alias("v")))
+    each = open_.select("node", "root").distinct().join(group.withColumnRenamed("root", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    each = each.join(nodes.select("node", "n", "sig", "bands"), "node").join(full_sets(docs, ids, each.select("node"), words), "node")
+    more = _between(stage(each, "round2"), percent)
     label = lambda c: F.coalesce(F.col(c), F.col(c[0]))
     ra, rb = root.select(F.col("node").alias("a"), F.col("root").alias("a_root")), root.select(F.col("node").alias("b"), F.col("root").alias("b_root"))
     merged = components(more.join(ra, "a", "left").join(rb, "b", "left").select(label("a_root").alias("u"), label("b_root").alias("v")))
