@@ -19,6 +19,7 @@ import base64
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import documents, key_and_text, vocabulary
 from .chunks import ChunkEncoder
 
-_STATE_LIMIT = 200_000
+_STATE_LIMIT = 60_000
 
 
 def load_ranks(file: str) -> dict[bytes, int]:
@@ -175,6 +176,7 @@ class StreamingDecoder:
         return rest.decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
 def rank_encoder(file: str, pattern: str) -> ChunkEncoder:
     import regex
 

@@ -12,6 +12,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import islice
 
 # Unicode White_Space, fixed values.
@@ -19,7 +20,7 @@ _SPACES = "\t\n\x0b\x0c\r \x85\xa0               
 _RUNS = tuple(s + " " for s in _SPACES)
 #: Letters up to here are classed alike by every Unicode version of the libraries.
 _PLAIN = "ɏ"
-_LIMIT = 800_000
+_LIMIT = 400_000
 
 
 def _forget(cache: dict) -> None:
@@ -93,8 +94,9 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+@lru_cache(maxsize=1)
 def library_encoder(file: str, width: int = 0) -> ChunkEncoder:
-    """An encoder over a ``tokenizers`` JSON file of the byte-level or the word-end kind."""
+    """An encoder over a ``tokenizers`` JSON file of the byte-level or the word-end kind; one a worker process, its caches last from task to task."""
     import json
 
     import regex
