@@ -13,6 +13,7 @@ from ..operators import inference as inf
 from ..operators import realized as rv
 from ..operators import timeseries as ts
 from ..operators import walkforward as wf
+from ..session import ship
 from ..sources import bindings as b
 from ..sources.sinks import confidence_bounds
 from . import simulation, studies, universe
@@ -33,7 +34,11 @@ def query(sql: str | None = None, doubles: str = "", others: str = ""):
     """Register a query; ``sql`` ends in a relation ``out`` of which ``others`` and the rounded ``doubles`` are compared."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return tidy(f(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
         if sql:
             shown = [*others.split(), *(f"round({c}, {PLACES}) AS {c}" for c in doubles.split())]
             ORACLES[f.__name__] = f"WITH {sql.strip().rstrip(',')} SELECT {', '.join(shown)} FROM out"
