@@ -433,7 +433,19 @@ def removed_units(block: Block, answers: pa.Table) -> np.ndarray:
     return np.cumsum(gone)[:n] > 0
 
 
-def mark(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, Block, np.ndarray], pa.Table], schema, block_bytes: int = 1 << 20, key_bytes: int = 6 << 20) -> DataFrame:
+def trimmed(result: pa.Table) -> pa.Table:
+    """Give freed memory back before the next block: a worker's size is then that of one block, not of its history."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+    return result
+
+
+def mark(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, Block, np.ndarray], pa.Table], schema, block_bytes: int = 3 << 18, key_bytes: int = 4 << 20) -> DataFrame:
     """``finish(rows of a block, block, removed units)`` over all blocks of ``docs`` (doc_id, text and what ``finish`` wants)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
@@ -446,20 +458,20 @@ def mark(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, Block, np.ndar
     held = docs.withColumn("block", number).repartition(width, "block")
 
     def first(key, table):
-        return send_classes(Block(table, rule), key[0].as_py(), keys)
+        return trimmed(send_classes(Block(table, rule), key[0].as_py(), keys))
 
     def second(table):
-        return judge_classes(table, rule.earlier)
+        return trimmed(judge_classes(table, rule.earlier))
 
     def third(key, table, codes):
-        return send_spans(Block(table, rule), key[0].as_py(), codes, finer)
+        return trimmed(send_spans(Block(table, rule), key[0].as_py(), codes, finer))
 
     def fourth(table):
-        return judge_spans(table, rule)
+        return trimmed(judge_spans(table, rule))
 
     def last(key, table, answers):
         block = Block(table, rule)
-        return finish(table, block, removed_units(block, answers))
+        return trimmed(finish(table, block, removed_units(block, answers)))
 
     classes = held.groupBy("block").applyInArrow(first, MOVED)
     codes = classes.repartition(width, "key").groupBy("key").applyInArrow(second, MOVED)
