@@ -21,13 +21,16 @@ def _small(edges: DataFrame) -> DataFrame:
     return far.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Does every node point at one root that points nowhere?  One shuffle."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    open_ = ends.groupBy("x").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out > 1 or (out > 0 and into > 0)")
+    return open_.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) undirected links -> (node, root): every node of a link but the roots, with the least node it reaches."""
     edges = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links")
-    told = None
-    while True:
-        # A distinct edge list is compared by count and an order-free sum.
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == told or now[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        told, edges = now, stage(_small(_large(edges)), "links")
+    while not _stars(edges):
+        edges = stage(_small(_large(edges)), "links")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
