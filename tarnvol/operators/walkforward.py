@@ -155,22 +155,27 @@ class BoostedTrees:
 
 
 def walk_forward_trees(features: DataFrame, keys: Sequence[str], base: Sequence[str], alt: Sequence[str], y: str = "y", order: str = "d", min_train: int = MIN_TRAIN, refit: int = REFIT_TREES, rounds: int = 150) -> DataFrame:
-    """As ``walk_forward_ols`` with boosted trees; a series and model is one task's work."""
+    """As ``walk_forward_ols`` with boosted trees; the fits of a series and block are one task's work.
+
+    A row goes to the fit of its own block, which forecasts it, and to those of all
+    later blocks, which learn from it: the rows moved are the rows the fits read.
+    """
     keys = list(keys)
-    rows = with_blocks(features, keys, order, min_train, refit)
+    xs = list(dict.fromkeys([*base, *alt]))
+    rows = with_blocks(features, keys, order, min_train, refit).select(*keys, order, "rn", "block", y, *xs)
     schema = rows.select(*keys, order, "rn", "block", y).schema
-
-    def model(columns: Sequence[str], name: str) -> DataFrame:
-        out = StructType([*schema.fields, StructField(name, DoubleType())])
-
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("rn")
-            x, target, block = part[list(columns)].to_numpy(float), part[y].to_numpy(float), part["block"].to_numpy()
-            yhat = np.full(len(part), np.nan)
-            for b in range(block.max() + 1 if len(block) else 0):
-                yhat[block == b] = BoostedTrees(rounds=rounds).fit(x[block < b], target[block < b]).predict(x[block == b])
-            return part.assign(**{name: yhat}).loc[block >= 0, [*keys, order, "rn", "block", y, name]]
-
-        return rows.select(*keys, order, "rn", "block", y, *columns).groupBy(*keys).applyInPandas(run, out)
-
-    return model(base, "yhat_base").join(model(alt, "yhat_alt").drop("rn", "block", y), [*keys, order])
+    out = StructType([*schema.fields, StructField("yhat_base", DoubleType()), StructField("yhat_alt", DoubleType())])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rn")
+        own = (part["block"] == part["fit"]).to_numpy()
+        before, here = part[~own], part[own]
+        target = before[y].to_numpy(float)
+        model = lambda c: BoostedTrees(rounds=rounds).fit(before[list(c)].to_numpy(float), target).predict(here[list(c)].to_numpy(float))
+        return here.assign(yhat_base=model(base), yhat_alt=model(alt))[out.names]
+
+    last = F.max("block").over(Window.partitionBy(*keys))
+    dealt = rows.withColumn("last", last).where("last >= 0").withColumn("fit", F.explode(F.sequence(F.greatest(F.col("block"), F.lit(0)), F.col("last")))).drop("last")
+    # A count of its own: adaptive execution would merge small partitions, and the fits are costly, not large.
+    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, *keys, "fit").groupBy(*keys, "fit").applyInPandas(run, out)

@@ -539,7 +539,7 @@ def sim_rejection_rate(spark, sf):
 @query()
 def gbm_walk_forward(spark, sf):
     f = feats.har_daily(joined(spark, sf), rich=True)
-    fc = wf.walk_forward_trees(f, KEYS, feats.DAILY, [*feats.DAILY, *feats.ATTENTION, *feats.RICH], refit=wf.REFIT_TREES * 4, rounds=50)
+    fc = wf.walk_forward_trees(f, KEYS, feats.DAILY, [*feats.DAILY, *feats.ATTENTION, *feats.RICH], refit=wf.REFIT_TREES, rounds=150)
     return inf.compare(fc, KEYS).drop("cw_stat", "p_cw")
 
 
