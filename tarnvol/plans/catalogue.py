@@ -550,7 +550,7 @@ def daily_study(spark, sf):
 
 @query()
 def intraday_study(spark, sf):
-    return studies.intraday_study(ts.align(pseudo_rv(spark, sf).select("entity", "d", "rv"), b.views(spark, sf), ["d"]), models=("ols",))
+    return studies.intraday_study(ts.align(pseudo_rv(spark, sf).select("entity", "d", "rv"), b.views(spark, sf), ["d"]))
 
 
 def _marked_panel(spark, sf):

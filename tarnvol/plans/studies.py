@@ -39,17 +39,23 @@ def daily_study(prices_views: DataFrame, keys: Sequence[str] = ("entity",), min_
 
 
 def intraday_study(rv_views: DataFrame, keys: Sequence[str] = ("entity",), models: Sequence[str] = ("ols", "gbm"), min_train: int = MIN_TRAIN, rounds: int = 150) -> DataFrame:
-    """The grid of models and weekday controls over shared features; Clark-West is blank for trees; Holm in each cell of the grid."""
+    """The grid of models and weekday controls over shared features; Clark-West is blank for trees; Holm in each cell of the grid.
+
+    The cells' forecasts are compared together, keyed by the cell: one plan of the tests, not one a cell.
+    """
     keys = list(keys)
-    out = None
+    grid = None
     for model in models:
         f = har_intraday(rv_views, keys, rich=model != "ols")
         for dow in (False, True):
             base = [*INTRADAY, *(WEEKDAYS if dow else ())]
             alt = [*base, *ATTENTION, *(RICH if model != "ols" else ())]
             fc = walk_forward_ols(f, keys, base, alt, min_train=min_train) if model == "ols" else walk_forward_trees(f, keys, base, alt, min_train=min_train, refit=REFIT_TREES, rounds=rounds)
-            one = compare(fc, keys).withColumns({"model": F.lit(model), "dow": F.lit(dow)})
-            out = one if out is None else out.unionByName(one)
+            one = fc.select(*keys, "d", "y", "yhat_base", "yhat_alt", F.lit(model).alias("model"), F.lit(dow).alias("dow"))
+            grid = one if grid is None else grid.unionByName(one)
+    cell = [*keys, "model", "dow"]
+    out = compare(grid, cell)
+    out = out.select(*keys, *(c for c in out.columns if c not in cell), "model", "dow")
     for c in ("cw_stat", "p_cw"):
         out = out.withColumn(c, F.when(F.col("model") != "gbm", F.col(c)))
     return holm(holm(out, "p_dm", ("model", "dow")), "p_cw", ("model", "dow"))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 from tarnvol.operators import walkforward as wf
-from tarnvol.plans import catalogue
+from tarnvol.plans import catalogue, studies
 
 DATA = "/root/testdata/sf0.01"
 
@@ -45,3 +45,17 @@ def test_trees_dealt_by_block_equal_one_loop(spark):
             fit = lambda c: wf.BoostedTrees(rounds=4).fit(x[:until, :c], y[:until]).predict(x[d : d + 1, :c])[0]  # noqa: E731, B023
             want[e, d] = (d + 1, b, y[d], fit(1), fit(2))
     assert got == want
+
+
+def test_intraday_query_has_all_cells_of_the_grid(spark):
+    rows = catalogue.QUERIES["intraday_study"](spark, DATA).collect()
+    assert {(r.entity, r.model, r.dow) for r in rows} == {("ALL", m, w) for m in ("ols", "gbm") for w in (False, True)} and len(rows) == 4
+    for r in rows:
+        assert r.n_oos > 0 and r.p_dm_holm is not None
+        assert {r.cw_stat is None, r.p_cw is None, r.p_cw_holm is None} == {r.model == "gbm"}
+
+
+def test_intraday_trees_have_all_refits_and_rounds(spark, monkeypatch):
+    calls = _arguments(monkeypatch, studies, "walk_forward_trees")
+    catalogue.QUERIES["intraday_study"](spark, DATA)
+    assert [(c["refit"], c["rounds"], c["min_train"]) for c in calls] == [(63, 150, 750)] * 2
