@@ -533,7 +533,7 @@ def adf_test(spark, sf):
 
 @query()
 def sim_rejection_rate(spark, sf):
-    return simulation.rejection_rates(simulation.null_panel(spark, 40))
+    return simulation.rejection_rates(simulation.null_panel(spark))
 
 
 @query()

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 from tarnvol.operators import walkforward as wf
-from tarnvol.plans import catalogue, studies
+from tarnvol.plans import catalogue, simulation, studies
 
 DATA = "/root/testdata/sf0.01"
 
@@ -59,3 +59,9 @@ def test_intraday_trees_have_all_refits_and_rounds(spark, monkeypatch):
     calls = _arguments(monkeypatch, studies, "walk_forward_trees")
     catalogue.QUERIES["intraday_study"](spark, DATA)
     assert [(c["refit"], c["rounds"], c["min_train"]) for c in calls] == [(63, 150, 750)] * 2
+
+
+def test_simulation_query_has_all_replications(spark, monkeypatch):
+    calls = _arguments(monkeypatch, simulation, "null_panel")
+    assert catalogue.QUERIES["sim_rejection_rate"](spark, DATA).first().replications == 150
+    assert [c["n"] for c in calls] == [1500]
