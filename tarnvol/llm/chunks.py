@@ -11,7 +11,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 from itertools import islice
 
@@ -34,12 +34,14 @@ class ChunkEncoder:
 
     ``pieces`` splits a plain chunk, ``model`` encodes a piece, ``whole`` encodes
     any text with the complete tokenizer (used for chunks with rarer characters
-    and for texts with runs of white space before a space).  ``spaced``: a piece
-    keeps the space before it; else pieces are lower case without it.
+    and for texts with runs of white space before a space or with one of
+    ``added``, the tokens that are matched in the text before it is split).
+    ``spaced``: a piece keeps the space before it; else pieces are lower case
+    without it.
     """
 
-    def __init__(self, pieces: Callable[[str], list[str]], model: Callable[[str], list[int]], whole: Callable[[str], list[int]], width: int, spaced: bool = True):
-        self.pieces, self.model, self.whole, self.spaced = pieces, model, whole, spaced
+    def __init__(self, pieces: Callable[[str], list[str]], model: Callable[[str], list[int]], whole: Callable[[str], list[int]], width: int, spaced: bool = True, added: Sequence[str] = ()):
+        self.pieces, self.model, self.whole, self.spaced, self.added = pieces, model, whole, spaced, tuple(added)
         self.dtype = f"<u{width}"
         self.code = {2: "H", 4: "I"}[width]
         self.chunks: dict[str, bytes] = {}
@@ -70,7 +72,7 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(run in text for run in _RUNS):
+        if any(run in text for run in _RUNS) or any(token in text for token in self.added):
             return self._pack(self.whole(text))
         first, *rest = text.split(" ")
         cache = self.chunks
@@ -106,7 +108,6 @@ def library_encoder(file: str, width: int = 0) -> ChunkEncoder:
 
     single_thread()
     tok = Tokenizer.from_file(file)
-    tok.encode_special_tokens = True
     table = _byte_alphabet()
     model = tok.model
     with open(file, encoding="utf-8") as f:
@@ -131,7 +132,7 @@ def library_encoder(file: str, width: int = 0) -> ChunkEncoder:
                 return []
             return split.findall(unicodedata.normalize("NFC", chunk).lower())
 
-    enc = ChunkEncoder(pieces, ids, whole, width, spec["normalizer"] is None)
+    enc = ChunkEncoder(pieces, ids, whole, width, spec["normalizer"] is None, [t["content"] for t in spec["added_tokens"]])
     if spec["normalizer"] is not None:
         inner = enc._chunk
         enc._chunk = lambda chunk: enc._pack(whole(chunk)) if "İ" in chunk else inner(chunk)
