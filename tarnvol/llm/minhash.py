@@ -6,11 +6,11 @@
   one *node* from then on, however many copies there are.
 * Band keys shared by several nodes make candidates.  Similarity is estimated from the
   packed signatures by exclusive-or and bit counts, corrected for the ``2**-BITS`` of
-  positions that agree by chance; ``margin`` keeps the estimate from losing a link.
+  positions that agree by chance; the estimate chooses the pairs of round 1 and decides nothing.
 * Round 1: each node is confirmed against the best of its buckets' leaders, one pair a
   node, on full sets dealt by hub and chunk.
 * Round 2: nodes of a bucket that are still in different components meet with their
-  full sets, in chunks of bounded size; pairs are estimated and counted inside the task, and
+  full sets, in chunks of bounded size; all pairs with a band in common are counted inside the task, and
   only links that join two components leave it.  A pair already connected needs no check.
 
 Edge cases: null text and texts without words have an empty set, no link and
@@ -35,7 +35,7 @@ from .components import components
 from .windows import _BASE, _BYTE, _SEP, _STEP, U, mix, prefix_sums, span_hash
 
 BANDS, ROWS, BITS = 32, 4, 4
-#: Estimates may lie this far below the threshold: more than four standard errors of 128 positions.
+#: Round 1 tries estimates down to this far below the threshold; what it leaves out meets in round 2.
 MARGIN = 0.15
 #: Members of a bucket that one task compares with each other; pairs that one confirming task holds.
 CHUNK, PAIRS = 1024, 1500
@@ -197,13 +197,12 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, pe
 
 
 def _between(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect different ``root``s of a ``grp``; rows have node, root, grp, n, sig, bands, shingles.
+    """Links (a, b) that connect different ``root``s of a ``grp``; rows have node, root, grp, n, bands, shingles.
 
     Groups are cut into chunks and each two chunks meet in one task, so memory is bounded.
-    A task estimates the pairs that share a band, counts the full sets of those that may be linked,
-    and gives a link only where it joins two parts: never all pairs of a group.
+    A task counts the full sets of all pairs that share a band and whose parts are not yet joined, and
+    gives a link only where it joins two parts: never all pairs of a group.
     """
-    floor = percent / 100 - MARGIN
     sizes = rows.groupBy("grp").agg(F.count("*").alias("m"))
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     met = rows.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
@@ -213,7 +212,7 @@ def _between(rows: DataFrame, percent: int) -> DataFrame:
 
     def join(table):
         grp, i, j, node, root, n, own = (table[c].to_numpy() for c in ("grp", "i", "j", "node", "root", "n", "own"))
-        sig, bands = (np.array(table[c].to_pylist(), np.int64).view(U) for c in ("sig", "bands"))
+        bands = np.array(table["bands"].to_pylist(), np.int64).view(U)
         sets = [np.frombuffer(x.as_buffer(), U) for x in table["shingles"]]
         parent: dict[int, int] = {}
 
@@ -232,13 +231,6 @@ def _between(rows: DataFrame, percent: int) -> DataFrame:
                 y = two[at + 1 :] if one is two else two
                 y = y[root[y] != root[x]]
                 y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
-                if len(y):
-                    d = sig[y] ^ sig[x]
-                    d |= d >> U(1)
-                    d |= d >> U(2)
-                    other = np.bitwise_count(d & U(0x1111111111111111)).sum(1)
-                    score = (1 - other / (BANDS * ROWS) - 2.0**-BITS) / (1 - 2.0**-BITS)
-                    y = y[score >= floor]
                 y = y[(bands[y] == bands[x]).any(1)] if len(y) else y
                 for k in range(0, len(y), 64):
                     mine = find(int(root[x]))
@@ -293,7 +285,7 @@ def near_components(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     open_ = stage(named.join(mixed, "bucket").select("node", "root", "first"), "open")
     group = components(open_.select(F.col("node").alias("u"), F.col("first").alias("v")))
     each = open_.select("node", "root").distinct().join(group.withColumnRenamed("root", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    each = each.join(nodes.select("node", "n", "sig", "bands"), "node").join(full_sets(docs, ids, each.select("node"), words), "node")
+    each = each.join(nodes.select("node", "n", "bands"), "node").join(full_sets(docs, ids, each.select("node"), words), "node")
     more = _between(stage(each, "round2"), percent)
     label = lambda c: F.coalesce(F.col(c), F.col(c[0]))
     ra, rb = root.select(F.col("node").alias("a"), F.col("root").alias("a_root")), root.select(F.col("node").alias("b"), F.col("root").alias("b_root"))
