@@ -28,7 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import documents, key_and_text, vocabulary
 from .chunks import ChunkEncoder
 
-_STATE_LIMIT = 60_000
+#: States kept before all are dropped; transitions are twice, token pairs four times as many at most.
+_STATE_LIMIT = 100_000
+#: Encoded pieces kept (some 200 bytes each).
+PIECES_KEPT = 1_000_000
 
 
 def load_ranks(file: str) -> dict[bytes, int]:
@@ -48,13 +51,37 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -
 
 
 class BpeTransducer:
-    """``feed(state, byte) -> (state, emitted ids)`` with states numbered as they are met."""
+    """Numbered states over bytes: ``encode_piece`` runs them, ``_step`` makes a transition when it is first met.
+
+    A hypothesis is (last closed token, trie node of the open one, closed tokens not yet
+    emitted).  Tokens are their ranks, so a step is a few integer lookups.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.open = {token[:i] for token in ranks for i in range(1, len(token) + 1)}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.made: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.top = max(ranks.values()) + 1
+        #: node << 8 | byte -> node of the trie of all tokens, and the token that ends at a node.
+        self.child: dict[int, int] = {}
+        self.token = [-1]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                to = self.child.get(node << 8 | byte)
+                if to is None:
+                    to = self.child[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                node = to
+            self.token[node] = rank
+        self.bytes = {rank: token for token, rank in ranks.items()}
+        #: left * top + right -> the token that the two make together.
+        self.joined: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.joined[left * self.top + right] = rank
+        self.pairs: dict[int, bool] = {}
+        self.made: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -63,70 +90,76 @@ class BpeTransducer:
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
 
-    def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
+    def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a byte and for a token its own merges do not reach."""
         got = self.made.get(token, 0)
         if got == 0:
-            got = None
-            if len(token) > 1:
-                parts = merge_by_rank(token, self.ranks, below=self.ranks[token])
-                got = (parts[0], parts[1]) if len(parts) == 2 else None
+            got, text = None, self.bytes[token]
+            if len(text) > 1:
+                parts = merge_by_rank(text, self.ranks, below=token)
+                got = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
             self.made[token] = got
         return got
 
-    def follows(self, last: bytes, token: bytes) -> bool:
+    def follows(self, last: int, token: int) -> bool:
         """Do the two stay apart?  Undo the merges next to the border, latest first: at no time may the border pair have been the lower-ranked choice."""
-        if (got := self.pairs.get((last, token))) is not None:
-            return got
-        if len(self.pairs) > 2 * _STATE_LIMIT:
-            self.pairs.clear()
-        ranks, x, y, until, ok = self.ranks, last, token, 1 << 60, True
-        whole = {t for t in (last, token) if len(t) > 1 and self.halves(t) is None}
-        ok = not whole
-        while ok and x:
+        joined, top, x, y, until = self.joined, self.top, last, token, 1 << 60
+        while True:
             # until: rank of the merge that took x or y; the left of two equal ranks goes first
-            if ranks.get(x + y, 1 << 60) < until:
-                ok = False
-                break
+            if joined.get(x * top + y, 1 << 60) < until:
+                return False
             a, b = self.halves(x), self.halves(y)
             if a is None and b is None:
-                break
-            if b is None or (a is not None and ranks[x] > ranks[y]):
-                until, x = ranks[x], a[1]
+                return not any(t is not None and len(self.bytes[t]) > 1 and self.halves(t) is None for t in (last, token))
+            if b is None or (a is not None and x > y):
+                until, x = x, a[1]
             else:
-                until, y = ranks[y] + 1, b[0]
-        self.pairs[last, token] = ok
-        return ok
+                until, y = y + 1, b[0]
+
+    def _closes(self, last: int, node: int) -> int:
+        """The token that ends at ``node`` if it may stand after ``last`` (-1: none before it); else -1."""
+        token = self.token[node]
+        if token < 0 or last < 0:
+            return token
+        key = last * self.top + token
+        ok = self.pairs.get(key)
+        if ok is None:
+            if len(self.pairs) > 4 * _STATE_LIMIT:
+                self.pairs.clear()
+            ok = self.pairs[key] = self.follows(last, token)
+        return token if ok else -1
 
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        b, alive = bytes((byte,)), []
+        alive, child, closed = [], self.child, False
         if number == 0:
-            alive.append((b"", b, ()))
-        for last, part, held in self.states[number]:
-            if part + b in self.open:
-                alive.append((last, part + b, held))
-            if part in self.ranks and self.follows(last, part):
-                alive.append((part, b, (*held, self.ranks[part])))
-        # A closed token is doomed if no continuation of the open one may follow it; a single byte that cannot is kept until it grows.
-        agreed = os.path.commonprefix([h[2] for h in alive])
-        state = tuple((last, part, held[len(agreed) :]) for last, part, held in alive)
+            alive.append((-1, child[byte], ()))
+        for last, node, held in self.states[number]:
+            to = child.get(node << 8 | byte)
+            if to is not None:
+                alive.append((last, to, held))
+            # The encoding of what was read is one sequence, so one hypothesis at most closes here.
+            if not closed and (token := self._closes(last, node)) >= 0:
+                alive.append((token, child[byte], (*held, token)))
+                closed = True
+        agreed = alive[0][2] if len(alive) == 1 else tuple(os.path.commonprefix([h[2] for h in alive]))
+        if agreed:
+            alive = [(last, node, held[len(agreed) :]) for last, node, held in alive]
+        state = tuple(alive)
         if (to := self.numbers.get(state)) is None:
             to = self.numbers[state] = len(self.states)
             self.states.append(state)
-        self.moves[number << 8 | byte] = out = (to, tuple(agreed))
+        self.moves[number << 8 | byte] = out = (to, agreed)
         return out
 
     def _end(self, number: int) -> tuple[int, ...]:
-        closed = [(*held, self.ranks[part]) for last, part, held in self.states[number] if part in self.ranks and self.follows(last, part)]
+        closed = [(*held, token) for last, node, held in self.states[number] if (token := self._closes(last, node)) >= 0]
         if len(closed) != 1 and number:
             raise ValueError("the vocabulary is not closed under its own merges")
         self.ends[number] = closed[0] if closed else ()
         return self.ends[number]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
-        if len(self.states) > _STATE_LIMIT or len(self.moves) > 4 * _STATE_LIMIT:
+        if len(self.states) > _STATE_LIMIT or len(self.moves) > 2 * _STATE_LIMIT:
             self.reset()
         state, out, moves = 0, [], self.moves
         for byte in piece:
@@ -190,7 +223,7 @@ def rank_encoder(file: str, pattern: str) -> ChunkEncoder:
     def whole(text: str) -> list[int]:
         return [i for p in split(text) for i in piece(p)]
 
-    enc = ChunkEncoder(split, piece, whole, 4)
+    enc = ChunkEncoder(split, piece, whole, 4, pieces_kept=PIECES_KEPT)
     enc.tokens = {rank: token for token, rank in ranks.items()}
     return enc
 

@@ -20,6 +20,7 @@ _SPACES = "\t\n\x0b\x0c\r \x85\xa0               
 _RUNS = tuple(s + " " for s in _SPACES)
 #: Letters up to here are classed alike by every Unicode version of the libraries.
 _PLAIN = "ɏ"
+#: Entries of a cache before its newer half goes; an operator whose pieces are dear may keep more of them.
 _LIMIT = 400_000
 
 
@@ -40,8 +41,9 @@ class ChunkEncoder:
     without it.
     """
 
-    def __init__(self, pieces: Callable[[str], list[str]], model: Callable[[str], list[int]], whole: Callable[[str], list[int]], width: int, spaced: bool = True, added: Sequence[str] = ()):
+    def __init__(self, pieces: Callable[[str], list[str]], model: Callable[[str], list[int]], whole: Callable[[str], list[int]], width: int, spaced: bool = True, added: Sequence[str] = (), pieces_kept: int = _LIMIT):
         self.pieces, self.model, self.whole, self.spaced, self.added = pieces, model, whole, spaced, tuple(added)
+        self.pieces_kept = pieces_kept
         self.dtype = f"<u{width}"
         self.code = {2: "H", 4: "I"}[width]
         self.chunks: dict[str, bytes] = {}
@@ -56,7 +58,7 @@ class ChunkEncoder:
     def _piece(self, piece: str) -> bytes:
         got = self.known.get(piece)
         if got is None:
-            if len(self.known) >= _LIMIT:
+            if len(self.known) >= self.pieces_kept:
                 _forget(self.known)
             got = self.known[piece] = self._pack(self.model(piece))
         return got
