@@ -11,7 +11,7 @@ their names, are passed by.
 
 from __future__ import annotations
 
-import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,10 @@ BYTES = Rule(length=50, gram=16, earlier=True, words=False)
 
 
 def _kept_words(block: Block, gone: np.ndarray) -> list[bytes]:
-    data, out = block.data.tobytes(), []
-    spans = list(zip(block.starts.tolist(), block.ends.tolist(), strict=True))
-    for a, b in zip(block.of[:-1].tolist(), block.of[1:].tolist(), strict=True):
-        out.append(b" ".join([data[s:e] for (s, e), g in zip(spans[a:b], gone[a:b].tolist(), strict=True) if not g]))
+    out = []
+    for a, b, x, y in zip(block.of[:-1].tolist(), block.of[1:].tolist(), block.bounds[:-1].tolist(), block.bounds[1:].tolist(), strict=True):
+        words = block.data[x:y].tobytes().split()  # at the six ASCII spaces
+        out.append(b" ".join(compress(words, (~gone[a:b]).tolist()) if gone[a:b].any() else words))
     return out
 
 

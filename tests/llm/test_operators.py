@@ -174,11 +174,11 @@ def _order(rows):
     return sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("deep", [4096, 1])
-def test_substrings(docs, rows, odd, empty, monkeypatch, deep):
+@pytest.mark.parametrize("group", [4096, 1])
+def test_substrings(docs, rows, odd, empty, monkeypatch, group):
     from tarnvol.llm import windows
 
-    monkeypatch.setattr(windows, "DEEP_CLASSES", deep)
+    monkeypatch.setattr(windows, "GROUP", group)
     got = [(r[0], r[1], r[2], bytes(r[3]).decode()) for r in substrings.drop_repeated_words(docs).collect()]
     assert _order(got) == _order(brute_words(rows, 35)) and sum(r[2] for r in got) > 100
     some = [(r["doc_id"], r["text"]) for r in odd.collect()]
