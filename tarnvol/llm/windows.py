@@ -233,7 +233,8 @@ class Block:
         left[some] = (beside[own[some] - half] >> U(40)) % U(65535) + U(1)
         some = np.flatnonzero(own + gram + half <= hi + length)
         right[some] = (beside[own[some] + gram] >> U(40)) % U(65535) + U(1)
-        return lo + base, hi + base, own + base, hashes[own], left, right
+        # The least of many hashes is small: mixed again, or most leaves would go to the first keys.
+        return lo + base, hi + base, own + base, mix(hashes[own] + U(1)), left, right
 
     def anchors(self) -> bool:
         """Fill in the anchors and their leaves; False if no document has a whole window."""
@@ -310,7 +311,7 @@ def judge_classes(table: pa.Table, earlier: bool) -> pa.Table:
     opened = [_opened(p) for p in payloads]
     sizes = [len(x) for x in opened]
     leaf = np.concatenate(opened)
-    del opened
+    del opened, payloads
     order = np.lexsort((leaf["value"], leaf["span"], leaf["h"]))
     h, span, v = leaf["h"][order], leaf["span"][order], leaf["value"][order]
     new = np.ones(len(h), bool)
@@ -610,7 +611,7 @@ def trimmed(result: pa.Table) -> pa.Table:
     return result
 
 
-def mark(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, Block, np.ndarray], pa.Table], schema, block_bytes: int = 4 << 20, key_bytes: int = 12 << 20) -> DataFrame:
+def mark(docs: DataFrame, rule: Rule, finish: Callable[[pa.Table, Block, np.ndarray], pa.Table], schema, block_bytes: int = 4 << 20, key_bytes: int = 8 << 20) -> DataFrame:
     """``finish(rows of a block, block, removed units)`` over all blocks of ``docs`` (doc_id, text and what ``finish`` wants).
 
     A block sends a row for each key it has a leaf of, so rows are at most the corpus squared over
