@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -21,9 +22,11 @@ _OWN: dict[str, str] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder for cut lineage: ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs in one process."""
     if root := spark.conf.get("spark.checkpoint.dir", ""):
         return root
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="tarnvol-")
@@ -52,6 +55,35 @@ def key_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def grouped(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """``groupBy(keys).agg(...)`` that leaves no partitioning by the keys behind.
+
+    A join with the result then has an exchange of its own on either side, which adaptive
+    execution can split where a key is hot, and a later grouping adds up before its shuffle.
+    """
+    return df.groupBy(F.struct(*keys).alias("_group")).agg(*aggregates).select("_group.*", *(c for c in df.groupBy().agg(*aggregates).columns))
+
+
+def own_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def text_hash() -> Column:
+    """64 bits of a text that may be null: with the doc_id, the name of a row."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose (doc_id, text hash) ``gone`` (doc_id, h; no nulls) lists, whatever their other columns."""
+    key, h = own_name(docs, "_key"), own_name(docs, "_h")
+    gone = gone.select(F.col("doc_id").alias(key), F.col("h").alias(h)).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(key)) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col(h)), "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,22 +1,27 @@
-"""Connected components by alternating large-star and small-star steps, staged between rounds."""
+"""Connected components by alternating large-star and small-star steps, staged between rounds.
+
+Nodes may be of any type with an order.  A loop or a repeated link adds nothing; a link with a
+null end is dropped; an empty table has no components; other columns are not read.  The links
+of a hub are joined apart from their grouping, so that they can be split.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import grouped, stage
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = grouped(both, ["u"], F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = grouped(down, ["u"], F.min("v").alias("m"))
     far = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return far.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WS_CLASS, documents, key_and_text, stage
+from ._common import WS_CLASS, documents, grouped, key_and_text, own_name, stage, text_hash, without
 
 #: Characters of the prefix level.
 PREFIX = 64
@@ -27,31 +27,54 @@ PREFIX = 64
 
 def measured(docs: DataFrame) -> DataFrame:
     norm = F.regexp_replace("text", WS_CLASS, " ")
-    return key_and_text(docs).select("doc_id", norm.alias("norm")).select("doc_id", F.length("norm").alias("n"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix"), F.sha2("norm", 256).alias("text_sha256"))
+    return key_and_text(docs).select("doc_id", text_hash().alias("h"), norm.alias("norm")).select("doc_id", "h", F.length("norm").alias("n"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix"), F.sha2("norm", 256).alias("text_sha256"))
 
 
 def refine(rows: DataFrame) -> DataFrame:
     """Groups of two or more equal texts: n, prefix, text_sha256, keep_id, group_size."""
 
     def repeated(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
+        return grouped(df, [*keys], F.count("*").alias("_c")).where("_c > 1").drop("_c")
 
     by_length = rows.join(repeated(rows, "n"), "n", "left_semi")
     by_prefix = by_length.join(repeated(by_length, "n", "prefix"), ["n", "prefix"], "left_semi")
-    return by_prefix.groupBy("n", "prefix", "text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    return grouped(by_prefix, ["n", "prefix", "text_sha256"], F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def verdicts(docs: DataFrame) -> DataFrame:
     rows = stage(measured(docs), "measured")
     found = rows.join(refine(rows), ["n", "prefix", "text_sha256"], "left")
     keep = F.coalesce("keep_id", "doc_id")
-    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(keep == F.col("doc_id"), keep.isNull()).alias("kept"), "text_sha256")
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(keep == F.col("doc_id"), keep.isNull()).alias("kept"), "text_sha256", "h")
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+    return verdicts(docs).drop("h")
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of rows that repeat a doc_id and its text, one."""
-    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.dropDuplicates().join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay, all columns; of rows that repeat a doc_id and its text to the byte, one, whichever.
+
+    Rows that repeat a doc_id with other texts are judged by their texts.  Rows without a doc_id go
+    where a row that has one has their text, else all stay.
+    """
+    told = stage(verdicts(docs), "verdicts")
+    gone = told.where("not kept")
+    left = without(docs, gone.where("doc_id is not null").select("doc_id", "h"))
+    lost = gone.where("doc_id is null").select("h").distinct()
+    if not lost.isEmpty():
+        h = own_name(docs, "_h")
+        left = left.join(lost.select(F.col("h").alias(h)), left["doc_id"].isNull() & (F.xxhash64(F.coalesce(left["text"].cast("string"), F.lit(""))) == F.col(h)), "left_anti")
+    again = stage(grouped(told.where("kept and doc_id is not null"), ["doc_id"], F.count("*").alias("c")).where("c > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return left
+    # Only rows that share a doc_id are compared with each other.
+    key, h = own_name(docs, "_key"), own_name(docs, "_h")
+    again = again.select(F.col("doc_id").alias(key))
+    several = left.join(again, left["doc_id"].cast("long") == F.col(key), "left_semi")
+    one = several.withColumn(h, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", h]).drop(h)
+    return left.join(again, left["doc_id"].cast("long") == F.col(key), "left_anti").unionByName(one)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """Operator 9: near-duplicate components by b-bit MinHash, confirmed on full shingle sets.
 
-* One pass over the texts makes each document's distinct shingle hashes, its size, a
-  128-bit fingerprint of the set, band keys from the full minima and a packed
-  signature of the low ``BITS`` bits of each minimum.  Documents with equal sets are
-  one *node* from then on, however many copies there are.
+* One pass over the texts makes each document's distinct shingle hashes (64 bits, mixed after
+  each word, so that no linear relation of the texts survives), a 128-bit BLAKE2 digest of the
+  whole set, band keys from the full minima and a packed signature of the low ``BITS``
+  bits of each minimum.  Documents whose whole sets have one digest are one *node* from then
+  on, however many copies there are.
 * Band keys shared by several nodes make candidates.  Similarity is estimated from the
   packed signatures by exclusive-or and bit counts, corrected for the ``2**-BITS`` of
   positions that agree by chance; the estimate chooses the pairs of round 1 and decides nothing.
 * Round 1: each node is confirmed against the best of its buckets' leaders, one pair a
   node, on full sets dealt by hub and chunk.
 * Round 2: nodes of a bucket that are still in different components meet with their
-  full sets, in chunks of bounded size; all pairs with a band in common are counted inside the task, and
+  full sets, in chunks of bounded size (small groups of buckets at once, others bucket by bucket); all pairs with a band in common are counted inside the task, and
   only links that join two components leave it.  A pair already connected needs no check.
 
 Edge cases: null text and texts without words have an empty set, no link and
@@ -22,6 +23,7 @@ long texts are one row; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,9 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, key_and_text, shuffle_width, stage
+from ._common import documents, grouped, key_and_text, shuffle_width, stage, text_hash, without
 from .components import components
-from .windows import _BASE, _BYTE, _SEP, _STEP, U, mix, prefix_sums, span_hash
+from .windows import _SEP, U, hash_bytes, hash_units, mix, trimmed
 
 BANDS, ROWS, BITS = 32, 4, 4
 #: Round 1 tries estimates down to this far below the threshold; what it leaves out meets in round 2.
@@ -68,13 +70,13 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate([[False], ~_SEP[data], [False]])
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
-    word = span_hash(prefix_sums(_BYTE[data], _BASE), _BASE, starts, ends) + (ends - starts).astype(U)
+    word = hash_bytes(data, starts, ends - starts)
     of = np.searchsorted(starts, bounds)
     n = np.diff(of)
     many = np.where(n >= words, n - words + 1, (n > 0).astype(np.int64))
     doc = np.repeat(np.arange(len(n)), many)
     first = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + of[:-1][doc]
-    h = span_hash(prefix_sums(word, _STEP), _STEP, first, np.minimum(first + words, of[1:][doc]))
+    h = hash_units(word, first, np.minimum(words, of[1:][doc] - first))
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     fresh = np.ones(len(h), bool)
@@ -83,33 +85,24 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def _reduce(op, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return op.reduceat(x, at)
+def _nodes(h: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    """128 bits of each whole set; None for an empty one."""
+    return [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _fingerprints(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _reduce(np.add, mix(h), at), _reduce(np.bitwise_xor, mix(h * _FACTORS[0] + U(1)), at)
-
-
-def _node(n: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
-    return mix(f1 ^ mix(f2 + n.astype(U))).view(np.int64)
-
-
-SIGNED = "doc_id long, n long, node long, sig array<long>, bands array<long>"
+SIGNED = "doc_id long, h long, n long, node binary, sig array<long>, bands array<long>"
 
 
 def sign(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for part in slices(batches):
-            h, at = shingle_sets(part.column(1), words)
+            h, at = shingle_sets(part.column("text"), words)
             n = np.diff(at)
             some = np.flatnonzero(n)
-            rows = {"doc_id": part.column(0), "n": pa.array(n, pa.int64())}
-            f1, f2 = np.zeros(len(n), U), np.zeros(len(n), U)
+            rows = {"doc_id": part.column("doc_id"), "h": part.column("h"), "n": pa.array(n, pa.int64()), "node": pa.array(_nodes(h, at), pa.binary())}
             sig, bands = np.zeros((len(n), BANDS * ROWS * BITS // 64), U), np.zeros((len(n), BANDS), U)
             if len(some):
                 begin = at[:-1][some]
-                f1[some], f2[some] = _fingerprints(h, begin)
                 least = np.stack([np.minimum.reduceat(h * a, begin) for a in _FACTORS], 1)
                 low = mix(least) & U((1 << BITS) - 1)
                 per = 64 // BITS
@@ -118,12 +111,11 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
                 for r in range(ROWS):
                     key = mix(key * U(0x9E3779B97F4A7C15) + least.reshape(len(some), BANDS, ROWS)[:, :, r])
                 bands[some] = mix(key + np.arange(BANDS, dtype=U))
-            rows["node"] = pa.array(_node(n, f1, f2), mask=n == 0)
             for name, x in (("sig", sig), ("bands", bands)):
                 rows[name] = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel()))
             yield pa.record_batch(list(rows.values()), names=list(rows))
 
-    return key_and_text(docs).mapInArrow(run, SIGNED)
+    return key_and_text(docs).withColumn("h", text_hash()).mapInArrow(run, SIGNED)
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -141,24 +133,19 @@ def agreement(a: Column, b: Column) -> Column:
 
 def full_sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """node, shingles (sorted hashes, binary) of the ``needed`` nodes, from their least documents' whole texts."""
-    wanted = nodes.join(needed, "node").select("rep", "node")
+    wanted = nodes.join(needed, "node").select("rep", F.col("h").alias("rep_h"), "node")
 
     def sets(batches):
         for batch in batches:
             for part in slices([batch]):
                 h, at = shingle_sets(part.column("text"), words)
-                n = np.diff(at)
-                f1, f2 = np.zeros(len(n), U), np.zeros(len(n), U)
-                some = np.flatnonzero(n)
-                if len(some):
-                    f1[some], f2[some] = _fingerprints(h, at[:-1][some])
-                node = _node(n, f1, f2)
-                mine = node == part.column("node").to_numpy(zero_copy_only=False)
-                yield pa.record_batch([pa.array(node[mine]), pa.array([h[a:b].tobytes() for a, b, m in zip(at[:-1], at[1:], mine, strict=True) if m], pa.binary())], names=["node", "shingles"])
+                mine = np.array([x == y for x, y in zip(_nodes(h, at), part.column("node").to_pylist(), strict=True)], bool)
+                yield pa.record_batch([part.column("node").filter(pa.array(mine)), pa.array([h[a:b].tobytes() for a, b, m in zip(at[:-1], at[1:], mine, strict=True) if m], pa.binary())], names=["node", "shingles"])
 
-    texts = key_and_text(docs).withColumn("id", F.coalesce("doc_id", F.lit(LAST))).join(wanted, F.col("id") == F.col("rep")).select("node", "text")
-    # Rows that repeat a doc_id or a text give one set.
-    return stage(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    # By id and text hash: rows without an id share one id, and are told apart by their texts.
+    texts = key_and_text(docs).withColumn("id", F.coalesce("doc_id", F.lit(LAST))).withColumn("h", text_hash()).join(wanted, (F.col("id") == F.col("rep")) & (F.col("h") == F.col("rep_h"))).select("node", "text")
+    # Rows that repeat a doc_id and a text give one set.
+    return stage(texts.mapInArrow(sets, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -166,23 +153,23 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, pe
     spark = pairs.sparkSession
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     held = full_sets(docs, nodes, needed, words)
-    hubs = pairs.groupBy("a").agg(F.count("*").alias("c")).withColumn("chunks", F.ceil(F.col("c") / PAIRS).cast("int"))
+    hubs = grouped(pairs, ["a"], F.count("*").alias("c")).withColumn("chunks", F.ceil(F.col("c") / PAIRS).cast("int"))
     count = pairs.count()
     tasks = max(1, shuffle_width(spark), -(-count // PAIRS))
     chunk = F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")
     key = F.pmod(F.xxhash64("a", "chunk"), F.lit(tasks)).cast("int")
     partners = pairs.join(hubs, "a").withColumn("chunk", chunk).join(held.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "shingles")
-    centres = hubs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(held.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles")
+    centres = hubs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(held.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(None).cast("binary").alias("b"), "shingles")
     dealt = partners.unionByName(centres).withColumn("key", key)
 
     def compare(table):
-        a, chunk = table["a"].to_numpy(), table["chunk"].to_numpy()
-        alone = table["b"].is_null().to_numpy(zero_copy_only=False)
-        b = table["b"].fill_null(0).to_numpy()
+        a, chunk, b = table["a"].to_pylist(), table["chunk"].to_pylist(), table["b"].to_pylist()
         sets = [np.frombuffer(x.as_buffer(), U) for x in table["shingles"]]
-        hub = {(a[i], chunk[i]): sets[i] for i in np.flatnonzero(alone)}
+        hub = {(a[i], chunk[i]): sets[i] for i in range(len(a)) if b[i] is None}
         left, right = [], []
-        for i in np.flatnonzero(~alone):
+        for i in range(len(a)):
+            if b[i] is None:
+                continue
             x, y = hub[a[i], chunk[i]], sets[i]
             if len(y) > len(x):
                 x, y = y, x
@@ -191,28 +178,32 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, pe
             if 100 * both >= percent * (len(x) + len(y) - both):
                 left.append(a[i])
                 right.append(b[i])
-        return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        return pa.table([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    return dealt.repartition(tasks, "key").groupBy("key").applyInArrow(compare, "a long, b long")
+    return dealt.repartition(tasks, "key").groupBy("key").applyInArrow(compare, "a binary, b binary")
 
 
 def _between(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect different ``root``s of a ``grp``; rows have node, root, grp, n, bands, shingles.
+    """Links (a, b) that connect different ``root``s inside a ``unit``; rows have unit, by_bucket, m (rows of the unit), node, root, n, bands, shingles.
 
-    Groups are cut into chunks and each two chunks meet in one task, so memory is bounded.
+    A unit of more than CHUNK rows is cut into chunks and each two chunks meet in one task, so memory is bounded.
     A task counts the full sets of all pairs that share a band and whose parts are not yet joined, and
-    gives a link only where it joins two parts: never all pairs of a group.
+    gives a link only where it joins two parts: never all pairs of a group.  In a unit that is
+    one bucket, a pair is counted where it shares its first band only.
     """
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("m"))
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    met = rows.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    met = rows.withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     tasks = max(shuffle_width(rows.sparkSession), -(-rows.count() // CHUNK))
-    met = met.withColumn("task", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(tasks)).cast("int")).drop("m", "other")
+    met = met.withColumn("task", F.pmod(F.xxhash64("unit", "i", "j"), F.lit(tasks)).cast("int")).drop("m", "other")
 
     def join(table):
-        grp, i, j, node, root, n, own = (table[c].to_numpy() for c in ("grp", "i", "j", "node", "root", "n", "own"))
-        bands = np.array(table["bands"].to_pylist(), np.int64).view(U)
+        unit, i, j, n, own = (table[c].to_numpy() for c in ("unit", "i", "j", "n", "own"))
+        one_bucket, node = table["by_bucket"].to_numpy(zero_copy_only=False), table["node"].to_pylist()
+        roots = table["root"].to_pylist()
+        number = {x: k for k, x in enumerate(dict.fromkeys(roots))}
+        root = np.array([number[x] for x in roots], np.int64)
+        bands = np.array(table["bands"].to_pylist(), np.int64)
         sets = [np.frombuffer(x.as_buffer(), U) for x in table["shingles"]]
         parent: dict[int, int] = {}
 
@@ -223,15 +214,17 @@ def _between(rows: DataFrame, percent: int) -> DataFrame:
             return x
 
         out_a, out_b = [], []
-        order = np.lexsort((j, i, grp))
-        cut = np.flatnonzero((np.diff(grp[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        order = np.lexsort((j, i, unit))
+        cut = np.flatnonzero((np.diff(unit[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
         for g in np.split(order, cut):
             one, two = (g, g) if i[g[0]] == j[g[0]] else (g[own[g] == i[g]], g[own[g] == j[g]])
             for at, x in enumerate(one):
                 y = two[at + 1 :] if one is two else two
                 y = y[root[y] != root[x]]
                 y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
-                y = y[(bands[y] == bands[x]).any(1)] if len(y) else y
+                if len(y):
+                    same = bands[y] == bands[x]
+                    y = y[same.any(1) & ((bands[x][same.argmax(1)] == unit[x]) | ~one_bucket[x])]
                 for k in range(0, len(y), 64):
                     mine = find(int(root[x]))
                     some = [z for z in y[k : k + 64] if find(int(root[z])) != mine]
@@ -247,25 +240,29 @@ def _between(rows: DataFrame, percent: int) -> DataFrame:
                             parent[a] = b
                             out_a.append(node[x])
                             out_b.append(node[z])
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        return trimmed(pa.table([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"]))
 
-    return stage(met.repartition(tasks, "task").groupBy("task").applyInArrow(join, "a long, b long"), "more")
+    return stage(met.repartition(tasks, "task").groupBy("task").applyInArrow(join, "a binary, b binary"), "more")
 
 
 def near_components(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; documents with ``100 * intersection >= percent * union`` are linked."""
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return near_rows(docs, words, percent).drop("h")
+
+
+def near_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, h (hash of the text, to tell rows of one doc_id apart); documents with ``100 * intersection >= percent * union`` are linked."""
     spark = docs.sparkSession
     floor = percent / 100 - MARGIN
     signed = stage(sign(docs, words).withColumn("id", F.coalesce("doc_id", F.lit(LAST))), "signed")
-    some = signed.where("n > 0")
-    classes = some.groupBy("node").agg(F.min("id").alias("rep"))
-    # One signature row a node: that of its least document (equal sets have equal signatures).
-    nodes = stage(some.join(classes, "node").where("id = rep").dropDuplicates(["node"]).select("node", "rep", "n", "sig", "bands"), "nodes")
+    # One row a node: that of its least document (equal sets have equal signatures); added up before the shuffle, however many copies there are.
+    first = grouped(signed.where("n > 0"), ["node"], F.min(F.struct("id", "h", "n", "sig", "bands")).alias("x"))
+    nodes = stage(first.select("node", F.col("x.id").alias("rep"), "x.h", "x.n", "x.sig", "x.bands"), "nodes")
     slim = nodes.select("node", "n", "sig")
 
     member = nodes.select("node", "rep", F.explode("bands").alias("bucket"))
     # The leader is the least document: where copies were made from one text, most likely that text.
-    shared = member.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct("rep", "node")).alias("l")).where("m > 1").select("bucket", F.col("l.node").alias("leader"))
+    shared = grouped(member, ["bucket"], F.count("*").alias("m"), F.min(F.struct("rep", "node")).alias("l")).where("m > 1").select("bucket", F.col("l.node").alias("leader"))
     member = stage(member.join(shared, "bucket"), "members")
 
     def close(na: Column, nb: Column) -> Column:
@@ -275,35 +272,38 @@ def near_components(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     star = member.where("node != leader").select("node", "leader").distinct().join(slim, "node").join(right, "leader")
     star = star.where(close(F.col("n"), F.col("n2"))).withColumn("score", agreement(F.col("sig"), F.col("sig2"))).where(F.col("score") >= floor)
     first = stage(star.groupBy("node").agg(F.max(F.struct("score", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("node").alias("b")), "first")
-    ids = nodes.select("node", "rep")
+    ids = nodes.select("node", "rep", "h")
     linked = stage(_confirm(first, docs, ids, words, percent), "linked")
     root = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # Round 2: what shares a bucket and is not yet connected.
     named = member.select("bucket", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("first")).where("x != y").select("bucket", "first")
-    open_ = stage(named.join(mixed, "bucket").select("node", "root", "first"), "open")
+    mixed = grouped(named, ["bucket"], F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("first"), F.count("*").alias("m")).where("x != y").select("bucket", "first", "m")
+    open_ = stage(named.join(mixed, "bucket").select("bucket", "node", "root", "first", "m"), "open")
     group = components(open_.select(F.col("node").alias("u"), F.col("first").alias("v")))
-    each = open_.select("node", "root").distinct().join(group.withColumnRenamed("root", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    each = each.join(nodes.select("node", "n", "bands"), "node").join(full_sets(docs, ids, each.select("node"), words), "node")
-    more = _between(stage(each, "round2"), percent)
+    # Small groups of chained buckets meet as one, each set sent once; in large ones each bucket meets on its own.
+    grp = open_.select("node", "root").distinct().join(group.withColumnRenamed("root", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    each = stage(grp.join(grouped(grp, ["grp"], F.count("*").alias("size")), "grp"), "grouped")
+    whole = each.where(F.col("size") <= CHUNK).select(F.xxhash64("grp").alias("unit"), F.lit(False).alias("by_bucket"), F.col("size").alias("m"), "node", "root")
+    apart = open_.join(each.where(F.col("size") > CHUNK).select("node"), "node").select(F.col("bucket").alias("unit"), F.lit(True).alias("by_bucket"), "m", "node", "root")
+    held = nodes.select("node", "n", "bands").join(full_sets(docs, ids, each.select("node"), words), "node")
+    more = _between(stage(whole.unionByName(apart).join(held, "node"), "round2"), percent)
     label = lambda c: F.coalesce(F.col(c), F.col(c[0]))
     ra, rb = root.select(F.col("node").alias("a"), F.col("root").alias("a_root")), root.select(F.col("node").alias("b"), F.col("root").alias("b_root"))
     merged = components(more.join(ra, "a", "left").join(rb, "b", "left").select(label("a_root").alias("u"), label("b_root").alias("v")))
     # node -> root of round 1 -> root of round 2 -> least document of that component.
     last = merged.select(F.col("node").alias("root"), F.col("root").alias("final"))
-    final = ids.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(last, "root", "left").select("node", "rep", F.coalesce("final", "root").alias("final"))
-    least = final.groupBy("final").agg(F.min("rep").alias("component_id"))
+    final = ids.drop("h").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(last, "root", "left").select("node", "rep", F.coalesce("final", "root").alias("final"))
+    least = grouped(final, ["final"], F.min("rep").alias("component_id"))
     of_node = stage(final.join(least, "final").select("node", "component_id"), "of_node")
-    out = signed.select("doc_id", "id", "n", "node").join(of_node, "node", "left")
+    out = signed.select("doc_id", "id", "h", "n", "node").join(of_node, "node", "left")
     component = F.coalesce("component_id", "id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != LAST, component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != LAST, component).alias("component_id"), (F.col("id") == component).alias("kept"), "h")
 
 
 def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, all columns; rows without a doc_id always do."""
-    gone = near_components(docs, words, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return without(docs, near_rows(docs, words, percent).where("not kept and doc_id is not null").select("doc_id", "h"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WS_CLASS, documents, key_and_text, stage
+from ._common import WS_CLASS, documents, key_and_text, own_name, stage, text_hash
 
 WS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -204,11 +204,12 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Decisions are staged first: a filter over the array expressions would be pushed into
     them and split every text again for each word.
     """
-    hashed = key_and_text(docs).withColumn("_key", F.xxhash64("text"))
+    hashed = key_and_text(docs).withColumn("_key", text_hash())
     stats = stage(measure(hashed).drop("text"), "statistics")
     rules = learn(labelled(stats, labels))
-    kept = stats.where(~F.col("base_failed") & (verdict(rules) == 0)).select(F.col("doc_id").alias("_k"), "_key").distinct()
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_k")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_key"))
+    k, h = own_name(docs, "_k"), own_name(docs, "_h")
+    kept = stats.where(~F.col("base_failed") & (verdict(rules) == 0)).select(F.col("doc_id").alias(k), F.col("_key").alias(h)).distinct()
+    own = docs["doc_id"].cast("long").eqNullSafe(F.col(k)) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col(h))
     return docs.join(kept, own, "left_semi")
 
 

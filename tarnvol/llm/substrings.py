@@ -94,7 +94,7 @@ def _spread(texts: list[str], where: np.ndarray) -> list[str | None]:
 
 
 def key_and_text_with(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def drop_earlier_bytes(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
