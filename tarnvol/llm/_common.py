@@ -38,10 +38,17 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark).rstrip('/')}/tarnvol/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Let the session take away what it has staged when it ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lost executors cannot take it away."""
     path = staging_path(df.sparkSession, label)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -127,7 +127,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     spark = pieces.sparkSession
     # Ranks within a length: blocks by key, counts a block, and row numbers inside a block; no task sees a whole class.
     blocks = 4 * shuffle_width(spark)
-    keyed = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
+    keyed = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", *(c for c in ("ids_crc32",) if c in pieces.columns)), F.lit(blocks)).cast("int"))
     sizes = keyed.groupBy("length", "_block").agg(F.count("*").alias("_n"))
     before = sizes.select("length", "_block", (F.sum("_n").over(Window.partitionBy("length").orderBy("_block")) - F.col("_n")).alias("_before"))
     counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}  # at most ``capacity`` rows

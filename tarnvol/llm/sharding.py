@@ -6,7 +6,7 @@ feasible capacity is found by binary search, a capacity being feasible if greedy
 filling needs no more runs than there are shards.
 
 The order is never gathered.  The driver holds *cells* — runs of consecutive
-groups with their bytes — at most a few tens of thousands.  On cells, greedy filling gives a
+groups with their bytes — CELLS at first, and SPLIT for each that a cut may fall into.  On cells, greedy filling gives a
 lower bound (a cell may be cut anywhere) and an upper bound (only between
 cells); cells in which some cut may lie are split by one aggregation, until both
 bounds agree and every cut lies between two groups.  The answer is exact.
@@ -150,7 +150,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     put = rows.join(home, key)
     # Slots: by blocks of rows; the blocks' counts meet in one small table, so no task holds a shard.
     blocks = 4 * width
-    put = stage(put.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "put")
+    # Rows without a doc_id share one id: any number, made once before the rows are staged, spreads them.
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    put = stage(put.withColumn("block", F.pmod(F.xxhash64("id", apart), F.lit(blocks)).cast("int")), "put")
     counts = put.groupBy("shard", "block").agg(F.count("*").alias("n"))
     first = counts.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("first"))
     own = Window.partitionBy("shard", "block").orderBy("id", "text_crc32")

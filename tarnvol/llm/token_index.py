@@ -18,6 +18,7 @@ other columns are never read.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -26,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, key_and_text, stage, staging_path, vocabulary
+from ._common import documents, key_and_text, stage, staging_path, until_exit, vocabulary
 from .chunks import library_encoder
 
 _HEAD = "<qBI"
@@ -74,8 +75,11 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
     path = staging_path(docs.sparkSession, "shards")
-    ranged = src.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id lie side by side; rows without one are spread by their texts.
+    apart = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    ranged = src.repartitionByRange(n, F.col("doc_id"), apart).sortWithinPartitions("doc_id", apart, "text")
     ranged.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("compression", "none").text(path)
+    until_exit(docs.sparkSession, path)
     return Shards(path, width, n)
 
 
@@ -220,7 +224,6 @@ def read_payload(spark: SparkSession, found: DataFrame, places: DataFrame, shard
     """``fold(ids) -> int`` of every found record.  Requests of a shard go to one task, which reads the ranges it was told."""
     width = shards.width
     names = places.groupBy("shard").agg(F.min("file").alias("file"))
-    # at most one row a shard: thousands of rows at most, whatever the corpus
     wanted = found.join(names, "shard")
     out = "doc_id long, shard int, offset long, n_tokens long, value long"
 
@@ -278,6 +281,16 @@ def read_payload(spark: SparkSession, found: DataFrame, places: DataFrame, shard
     return found.groupBy("shard").cogroup(content.groupBy("shard")).applyInArrow(join, out)
 
 
+def shard_bases(places: DataFrame, shards: int) -> DataFrame:
+    """shard, base: the ids of all shards before it, by prefix sums in two levels of about the root of the shards each."""
+    run = max(1, math.isqrt(shards))
+    per = places.groupBy("shard").agg(F.sum("n_tokens").alias("ids")).withColumn("run", F.floor(F.col("shard") / run))
+    runs = per.groupBy("run").agg(F.sum("ids").alias("all"))
+    before = runs.select("run", (F.sum("all").over(Window.orderBy("run")) - F.col("all")).alias("before"))
+    inside = (F.sum("ids").over(Window.partitionBy("run").orderBy("shard")) - F.col("ids")).alias("inside")
+    return per.select("shard", "run", inside).join(before, "run").select("shard", (F.col("before") + F.col("inside")).alias("base"))
+
+
 def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, write, index, then fetch every document's ids through the index."""
     docs = documents(spark, sf_dir)
@@ -294,12 +307,6 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         return zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
 
     got = read_payload(spark, found, places, shards, crc)
-    # one row a shard: the ids of all shards before it
-    totals = places.groupBy("shard").agg(F.sum("n_tokens").alias("ids")).collect()
-    before, bases = 0, []
-    for row in sorted(totals):
-        bases.append((row["shard"], before))
-        before += row["ids"]
-    bases = spark.createDataFrame(bases or [(0, 0)], "shard int, base long")
+    bases = shard_bases(places, shards.count)
     starts = places.select("shard", "offset", "start").join(bases, "shard")
     return got.join(starts, ["shard", "offset"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", F.col("value").alias("ids_crc32"), "shard", "offset")

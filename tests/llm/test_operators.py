@@ -62,7 +62,6 @@ def test_token_index(spark, docs, rows, monkeypatch):
 
     file = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(file)
-    tok.encode_special_tokens = True
     monkeypatch.setattr(token_index, "documents", lambda s, d: docs)
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_index.op1_token_index(spark, "").collect()}
     want, at = {}, 0
@@ -388,6 +387,84 @@ def test_near(docs, rows, words, percent):
     assert got == want and len({v[1] for v in want.values()}) < len(want)
 
 
+def test_near_in_chunks_and_bucket_by_bucket(docs, rows, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 2)
+    monkeypatch.setattr(minhash, "MARGIN", -1)  # nothing is linked in round 1
+    got = {r["doc_id"]: tuple(r)[1:] for r in minhash.near_components(docs, 5, 80).collect()}
+    assert got == brute_near(rows, 5, 80)
+
+
+def _twins():
+    """Two strings whose difference every polynomial hash modulo a power of two takes for nothing."""
+    p = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    return p, p.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_that_cancel_in_linear_hashes(spark):
+    p, q = _twins()
+    docs = spark.createDataFrame([(1, p), (2, q)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in minhash.near_components(docs).collect()} == {(1, 1), (2, 2)}
+    assert [(r["copies"], r["kept"], r["n_links"]) for r in lines.near_lines(docs).collect()] == [(1, True, 0)] * 2
+    around = " ".join(f"q{i}" for i in range(34))
+    for at in (0, 17, 34):
+        for x, y in (("hcgcfedbg", "beccbfeij"), (p, q)):
+            rows = [(i, " ".join([*around.split()[:at], w, *around.split()[at:]])) for i, w in ((1, x), (2, y))]
+            got = substrings.drop_repeated_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+            assert [r["n_removed"] for r in got] == [0, 0]
+    rows = [(1, p), (2, q), (3, p + q)]
+    got = substrings.drop_earlier_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert _order(tuple(map(_b, r)) for r in got) == _order(brute_bytes(rows, 50))
+
+
+def test_hashes_of_runs_differ_where_runs_do():
+    from tarnvol.llm.windows import hash_bytes, hash_units
+
+    rnd = np.random.default_rng(0)
+    data = rnd.integers(0, 3, 4000, dtype=np.uint8)
+    at, size = rnd.integers(0, 3000, 5000), rnd.choice([0, 1, 7, 8, 9, 16, 40, 511, 512, 513, 900], 5000)
+    runs = [data[a : a + s].tobytes() for a, s in zip(at, size, strict=True)]
+    for fold, x in ((hash_bytes, data), (hash_units, data.astype(np.uint64))):
+        for seed in (0, 1):
+            got = fold(x, at, size, seed).tolist()
+            assert len(set(zip(runs, got, strict=True))) == len(set(runs)) == len(set(got))
+
+
+def test_hot_and_missing_ids(spark, monkeypatch):
+    """Half of the rows equal, half of the ids missing."""
+    rnd = random.Random(11)
+    say = lambda n: " ".join(f"w{rnd.randint(0, 300)}" for _ in range(n))
+    same = say(90)
+    rows = [(None if i % 2 else i, same if i % 4 < 2 else say(60) + "\n" + say(9)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    last = 1 << 62
+    firsts = {}
+    for i, t in rows:
+        firsts[t] = min(firsts.get(t, last), last if i is None else i)
+    got = exact.exact_dedup(docs).collect()
+    assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"])) for r in got) == sorted(str((i, None if firsts[t] == last else firsts[t], sum(u == t for _, u in rows))) for i, t in rows)
+    left = exact.drop_exact(docs).collect()
+    assert sorted(map(str, left)) == sorted(str(r) for r in docs.collect() if (r["doc_id"] is None and firsts[r["text"]] == last) or r["doc_id"] == firsts[r["text"]])
+    near = minhash.near_components(docs).collect()
+    assert sorted(str((r["doc_id"], r["component_id"])) for r in near) == sorted(str((i, None if firsts[t] == last else firsts[t])) for i, t in rows)
+    told = lines.near_lines(docs).collect()
+    assert len(told) == sum(t.count("\n") + 1 for _, t in rows) and max(r["copies"] for r in told) == 120
+    put = sharding.shard(docs, 5).collect()
+    per = defaultdict(list)
+    for r in put:
+        per[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in per.values()) and len(put) == 240
+    got = substrings.drop_repeated_words(docs).collect()
+    assert _order((r[0], r[1], r[2], bytes(r[3]).decode()) for r in got) == _order(brute_words(rows, 35))
+    got = substrings.drop_earlier_bytes(docs).collect()
+    assert _order(tuple(map(_b, r)) for r in got) == _order(brute_bytes(rows, 50))
+    monkeypatch.setattr(token_index, "documents", lambda s, d: docs)
+    monkeypatch.setattr(token_index, "SHARD_BYTES", 2000)
+    write = token_index.write_shards
+    monkeypatch.setattr(token_index, "write_shards", lambda d: write(d, shard_bytes=2000))
+    got = sorted((r["start"], r["n_tokens"]) for r in token_index.op1_token_index(spark, "").collect())
+    assert len(got) == 240 and got[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:], strict=False))
+
+
 def test_near_odd_rows(odd, empty):
     got = minhash.near_components(odd).collect()
     assert len(got) == 6 and {r["component_id"] for r in got if r["n_shingles"] == 78} == {1}
@@ -429,7 +506,6 @@ def test_packing(docs, rows, odd, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     got = packing.pack(packing.cut(docs)).collect()
     want = {}
     for i, t in rows:

@@ -48,3 +48,33 @@ def test_stages(spark, sf_dir):
         else:
             rows = out.collect()
             assert {r["doc_id"] for r in rows} == set(before) and max(r["offset"] + r["length"] for r in rows) <= 2048
+
+
+CLASHES = "doc_id long, text string, lang string, n_chars long, `a.b` string, m map<string,string>, _gone long, _k long, _key long, _h long, row string, touched boolean, h long, id long, node binary, block int, bad int"
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_stages_on_empty_null_repeated_and_clashing_tables(spark, tmp_path, kind):
+    """Every stage returns the rows and columns it says; row by row where a doc_id or a text is missing or comes again."""
+    text, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(70))
+    fill = ("en", 5, "x", {"k": "v"}, 1, 2, 3, 4, "r", True, 5, 6, b"n", 7, 8)
+    rows = [(None, text, *fill), (None, None, *[None] * 15), (1, text, *fill), (1, text, *fill), (1, other, *fill), (2, None, *fill), (3, "", *fill), (4, "a " * 200_000, *fill), (5, other + " tail", *fill)]
+    docs = spark.createDataFrame(rows if kind == "odd" else [], CLASHES)
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0), (9, None, 0)] if kind == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {
+        "quality_rules": ["1 v", "1 w", "1 w", "5 v", "None w"], "exact_dedup": ["1 v", "1 w", "2 None", "4 a", "5 v"],
+        "near_dedup": ["1 v", "1 w", "1 w", "2 None", "3 ", "4 a", "None None", "None w"], "substring_dedup": 9, "best_fit_packing": 9,
+    }
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, str(tmp_path))
+        got = out.collect()
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        if kind == "empty":
+            assert got == []
+        elif name == "best_fit_packing":
+            assert len({(r["doc_id"], r["piece"], r["ids_crc32"], r["length"]) for r in got}) > 9
+        elif name == "substring_dedup":
+            assert len(got) == 9 and {r["text"] for r in got if r["doc_id"] == 3} == {""} and [r["text"] for r in got if r["doc_id"] is None and r["_gone"] is None] == [None]
+        else:
+            assert sorted(f"{r['doc_id']} {r['text'][:1] if r['text'] is not None else None}" for r in got) == want[name]
