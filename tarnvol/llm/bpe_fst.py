@@ -30,8 +30,8 @@ from .chunks import ChunkEncoder
 
 #: States kept before all are dropped; transitions are twice, token pairs four times as many at most.
 _STATE_LIMIT = 100_000
-#: Encoded pieces kept (some 200 bytes each).
-PIECES_KEPT = 1_000_000
+#: Encoded chunks kept (some 200 bytes each).
+PIECES_KEPT = 1_200_000
 
 
 def load_ranks(file: str) -> dict[bytes, int]:
@@ -223,7 +223,7 @@ def rank_encoder(file: str, pattern: str) -> ChunkEncoder:
     def whole(text: str) -> list[int]:
         return [i for p in split(text) for i in piece(p)]
 
-    enc = ChunkEncoder(split, piece, whole, 4, pieces_kept=PIECES_KEPT)
+    enc = ChunkEncoder(split, piece, whole, 4, kept=PIECES_KEPT)
     enc.tokens = {rank: token for token, rank in ranks.items()}
     return enc
 

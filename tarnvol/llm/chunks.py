@@ -21,7 +21,7 @@ _RUNS = tuple(s + " " for s in _SPACES)
 #: Letters up to here are classed alike by every Unicode version of the libraries.
 _PLAIN = "ɏ"
 #: Entries of a cache before its newer half goes; an operator whose pieces are dear may keep more of them.
-_LIMIT = 400_000
+_LIMIT = 600_000
 
 
 def _forget(cache: dict) -> None:
@@ -41,9 +41,9 @@ class ChunkEncoder:
     without it.
     """
 
-    def __init__(self, pieces: Callable[[str], list[str]], model: Callable[[str], list[int]], whole: Callable[[str], list[int]], width: int, spaced: bool = True, added: Sequence[str] = (), pieces_kept: int = _LIMIT):
+    def __init__(self, pieces: Callable[[str], list[str]], model: Callable[[str], list[int]], whole: Callable[[str], list[int]], width: int, spaced: bool = True, added: Sequence[str] = (), kept: int = _LIMIT):
         self.pieces, self.model, self.whole, self.spaced, self.added = pieces, model, whole, spaced, tuple(added)
-        self.pieces_kept = pieces_kept
+        self.kept = kept
         self.dtype = f"<u{width}"
         self.code = {2: "H", 4: "I"}[width]
         self.chunks: dict[str, bytes] = {}
@@ -56,9 +56,15 @@ class ChunkEncoder:
         return packed.tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        word = piece[1:] if self.spaced and piece[0] == " " else "" if self.spaced else piece
+        if word.isalpha() and word.isascii():  # a whole chunk by itself: kept once, as that
+            got = self.chunks.get(word)
+            if got is None:
+                got = self.chunks[word] = self._pack(self.model(piece))
+            return got
         got = self.known.get(piece)
         if got is None:
-            if len(self.known) >= self.pieces_kept:
+            if len(self.known) >= self.kept // 2:
                 _forget(self.known)
             got = self.known[piece] = self._pack(self.model(piece))
         return got
@@ -83,7 +89,7 @@ class ChunkEncoder:
         except KeyError:
             pass
         fresh = [c for c in set(rest) if c not in cache]
-        if len(cache) + len(fresh) > _LIMIT:
+        if len(cache) + len(fresh) > self.kept:
             _forget(cache)
             fresh = [c for c in set(rest) if c not in cache]
         for chunk in fresh:
