@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_sf
@@ -22,18 +22,33 @@ def hac_mean_test(df: DataFrame, value: str, keys: Sequence[str], order: str | S
     Lags run along the rows that are there, nulls left out first.
     """
     keys = list(keys)
-    w = series(keys, order)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_e", F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
-    e = F.col("_e")
-    rows = rows.withColumns({f"_e{k}": F.lag(e, k).over(w) for k in range(1, lags + 1)}) if lags else rows
-    s = F.sum(e * e)
-    for k in range(1, lags + 1):
-        s = s + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(e * F.col(f"_e{k}")), F.lit(0.0))
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), s.alias("_s"))
-    out = out.withColumn("se", F.when(F.col("_s") > 0, F.sqrt("_s") / F.col("n")))
+    known = df.where(F.col(value).isNotNull())
+    if lags:
+        rows, total = _lag_products(known, value, keys, Window.partitionBy(*keys), order, lags)
+    else:  # no order is needed: plain sums, added up before the shuffle even if one key has all rows
+        rows, total = known, F.var_pop(value) * F.count(value)
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), total.alias("_s"))
+    out = out.withColumn("se", _hac_error(F.col("_s"), F.col("n")))
     return out.withColumn("stat", F.col("mean") / F.col("se")).withColumn("p", norm_sf(F.col("stat"))).drop("_s")
 
 
+def _lag_products(rows: DataFrame, value: str, keys: Sequence[str], part: WindowSpec, order: str | Sequence[str], lags: int) -> tuple[DataFrame, Column]:
+    """Rows with the deviations of ``value`` and their lags in ``part``, and the aggregate of their weighted products."""
+    own = f"_{value}"
+    w = part.orderBy(*([order] if isinstance(order, str) else order))
+    e = F.col(own)
+    rows = rows.withColumn(own, F.col(value) - F.avg(value).over(part))
+    rows = rows.withColumns({f"{own}{k}": F.lag(e, k).over(w) for k in range(1, lags + 1)})
+    total = F.sum(e * e)
+    for k in range(1, lags + 1):
+        total = total + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(e * F.col(f"{own}{k}")), F.lit(0.0))
+    return rows, total
+
+
+def _hac_error(total: Column, n: Column) -> Column:
+    return F.when(total > 0, F.sqrt(total) / n)
+
+
 def with_losses(forecasts: DataFrame, y: str = "y") -> DataFrame:
     """Squared-error differential ``d_loss`` and its Clark-West adjustment ``cw_loss``."""
     eb, ea = F.col(y) - F.col("yhat_base"), F.col(y) - F.col("yhat_alt")
@@ -42,18 +57,26 @@ def with_losses(forecasts: DataFrame, y: str = "y") -> DataFrame:
 
 
 def compare(forecasts: DataFrame, keys: Sequence[str], order: str = "d", y: str = "y", lags: int = LAGS) -> DataFrame:
-    """keys, n_oos, r2_oos_baseline, r2_oos_gain, r2_gain_se, dm_stat, p_dm, cw_stat, p_cw."""
+    """keys, n_oos, r2_oos_baseline, r2_oos_gain, r2_gain_se, dm_stat, p_dm, cw_stat, p_cw.
+
+    Benchmark, both losses' lags and all sums are windows and one aggregation over the same partitioning.
+    """
     keys = list(keys)
     rows = with_losses(forecasts, y)
     rows = rows.withColumn("_bench", expanding_mean_before(F.col(y), series(keys, order)))
     gap = F.col(y) - F.col("_bench")
-    totals = rows.groupBy(*keys).agg(F.count("*").alias("n_oos"), F.sum("e2_base").alias("_b"), F.sum("e2_alt").alias("_a"), F.sum(gap * gap).alias("_t"), F.avg("e2_base").alias("_m"))
-    dm = hac_mean_test(rows, "d_loss", keys, order, lags).select(*keys, F.col("se").alias("_se"), F.col("stat").alias("dm_stat"), F.col("p").alias("p_dm"))
-    cw = hac_mean_test(rows, "cw_loss", keys, order, lags).select(*keys, F.col("stat").alias("cw_stat"), F.col("p").alias("p_cw"))
-    out = totals.join(dm, keys).join(cw, keys)
+    # Lags run along the rows that have losses; the two losses are null together.
+    part = Window.partitionBy(*keys, F.col("d_loss").isNull())
+    sums = []
+    for loss in ("d_loss", "cw_loss"):
+        rows, total = _lag_products(rows, loss, keys, part, order, lags)
+        sums += [total.alias(f"_s_{loss}"), F.avg(loss).alias(f"_m_{loss}")]
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n_oos"), F.count("d_loss").alias("_n"), F.sum("e2_base").alias("_b"), F.sum("e2_alt").alias("_a"), F.sum(gap * gap).alias("_t"), F.avg("e2_base").alias("_m"), *sums).where("_n > 0")
+    out = out.withColumns({f"_e_{loss}": _hac_error(F.col(f"_s_{loss}"), F.col("_n")) for loss in ("d_loss", "cw_loss")})
+    out = out.withColumns({"dm_stat": F.col("_m_d_loss") / F.col("_e_d_loss"), "cw_stat": F.col("_m_cw_loss") / F.col("_e_cw_loss")})
     return out.select(
         *keys, "n_oos", (1 - F.try_divide(F.col("_b"), F.col("_t"))).alias("r2_oos_baseline"), (1 - F.try_divide(F.col("_a"), F.col("_b"))).alias("r2_oos_gain"),
-        F.try_divide(F.col("_se"), F.col("_m")).alias("r2_gain_se"), "dm_stat", "p_dm", "cw_stat", "p_cw",
+        F.try_divide(F.col("_e_d_loss"), F.col("_m")).alias("r2_gain_se"), "dm_stat", norm_sf(F.col("dm_stat")).alias("p_dm"), "cw_stat", norm_sf(F.col("cw_stat")).alias("p_cw"),
     )
 
 

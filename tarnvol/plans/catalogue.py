@@ -264,9 +264,13 @@ def daily_rv_subsampled(spark, sf):
     return rv.daily_rv(whole_days(spark, sf), 2, ("t", "event_id"))
 
 
-@query(WHOLE_DAYS + _rv(1, "one") + _rv(2, "two") + "both_k AS (SELECT 1 AS k, * FROM one UNION ALL SELECT 2, * FROM two), out AS (SELECT entity, CAST(k AS BIGINT) AS k, count(*) AS days, avg(rv) AS mean_rv FROM both_k GROUP BY ALL)", "mean_rv", "entity k days")
+#: Sampling steps of the signature curve, fixed values.
+STEPS = (1, 2, 3, 6, 12)
+
+
+@query(WHOLE_DAYS + "".join(_rv(k, f"step_{k}") for k in STEPS) + "all_k AS (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM step_{k}" for k in STEPS) + "), out AS (SELECT entity, CAST(k AS BIGINT) AS k, count(*) AS days, avg(rv) AS mean_rv FROM all_k GROUP BY ALL)", "mean_rv", "entity k days")
 def signature_curve(spark, sf):
-    return rv.signature_curve(whole_days(spark, sf), (1, 2), order=("t", "event_id"))
+    return rv.signature_curve(whole_days(spark, sf), STEPS, order=("t", "event_id"))
 
 
 @query(PSEUDO + VIEWS + f"""j AS (SELECT rv.*, views FROM rv LEFT JOIN views USING (d) WHERE rv > 0),
@@ -563,6 +567,21 @@ def panel_study(spark, sf):
     return studies.panel_study(_marked_panel(spark, sf), KEYS, feats.DAILY)[0]
 
 
+@query()
+def panel_study_pooled(spark, sf):
+    return studies.panel_study(_marked_panel(spark, sf), KEYS, feats.DAILY)[1]
+
+
+@query()
+def stock_study(spark, sf):
+    return studies.stock_study(_marked_panel(spark, sf), feats.DAILY, True)[0]
+
+
+@query()
+def replication_stocks(spark, sf):
+    return studies.replication(_marked_panel(spark, sf), feats.DAILY)[0]
+
+
 @query()
 def stock_study_pooled(spark, sf):
     return studies.stock_study(_marked_panel(spark, sf), feats.DAILY, True)[1]

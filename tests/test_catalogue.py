@@ -29,7 +29,7 @@ def _plain(v):
     return "null" if v is None else v
 
 
-@pytest.mark.parametrize("name", ["daily_rv", "har_daily_features", "walk_forward_ols_1var", "compare_nested", "event_restricted_compare", "holm_by_family", "earnings_reaction_days", "exclusion_rules", "normal_cdf"])
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_against_sql(spark, duck, name):
     got = catalogue.QUERIES[name](spark, str(DATA))
     rows = duck.execute(catalogue.ORACLES[name])
