@@ -99,6 +99,11 @@ PSEUDO = "session AS (SELECT 'ALL' AS entity, CAST(l_shipdate AS DATE) AS d, l_o
 )
 
 
+LOSSES = """
+losses AS (SELECT *, (y - yhat_base) ** 2 AS e2_base, (y - yhat_alt) ** 2 AS e2_alt, (y - yhat_base) ** 2 - (y - yhat_alt) ** 2 AS d_loss,
+    (y - yhat_base) ** 2 - ((y - yhat_alt) ** 2 - (yhat_base - yhat_alt) ** 2) AS cw_loss FROM fc),"""
+
+
 def _forecasts(source: str, min_train: int = wf.MIN_TRAIN, refit: int = wf.REFIT) -> str:
     """Constant against one lag of the log level, both from earlier blocks only."""
     return f"""
@@ -108,9 +113,35 @@ blocks AS (SELECT *, CASE WHEN rn <= {min_train} THEN -1 ELSE (rn - 1 - {min_tra
 starts AS (SELECT DISTINCT entity, block FROM blocks WHERE block >= 0),
 fits AS (SELECT s.entity, s.block, regr_slope(t.y, t.x) AS slope, regr_intercept(t.y, t.x) AS cut, avg(t.y) AS level
     FROM starts s JOIN f t ON t.entity = s.entity AND t.rn <= {min_train} + {refit} * s.block GROUP BY 1, 2),
-fc AS (SELECT b.entity, b.d, b.rn, b.block, b.y, level AS yhat_base, cut + slope * b.x AS yhat_alt FROM blocks b JOIN fits USING (entity, block)),
-losses AS (SELECT *, (y - yhat_base) ** 2 AS e2_base, (y - yhat_alt) ** 2 AS e2_alt, (y - yhat_base) ** 2 - (y - yhat_alt) ** 2 AS d_loss,
-    (y - yhat_base) ** 2 - ((y - yhat_alt) ** 2 - (yhat_base - yhat_alt) ** 2) AS cw_loss FROM fc),"""
+fc AS (SELECT b.entity, b.d, b.rn, b.block, b.y, level AS yhat_base, cut + slope * b.x AS yhat_alt FROM blocks b JOIN fits USING (entity, block)),""" + LOSSES
+
+
+def _nested(source: str, base, extra, kept=(), min_train: int = wf.MIN_TRAIN, refit: int = wf.REFIT) -> str:
+    """Least squares on ``base`` and on ``base`` with ``extra``: normal equations of the rows before each block.
+
+    One elimination serves both, as the shorter model's columns come first; a column
+    without variation beside the earlier ones has coefficient 0.
+    """
+    z = ["1e0", *base, *extra, "y"]
+    n = len(z) - 1
+    sums = ", ".join([f"sum({z[i]} * {z[j]}) AS g{i}_{j}" for i in range(n) for j in range(i, n + 1)] + [f"sum({c} * {c}) AS d{i}" for i, c in enumerate(z[:n])])
+    steps, last = "", "gram"
+    for k in range(n):
+        rest = range(k + 1, n + 1)
+        steps += f"u{k} AS (SELECT *, " + ", ".join(f"CASE WHEN g{k}_{k} > {wf.RANK_TOLERANCE!r} * d{k} THEN g{k}_{j} / g{k}_{k} ELSE 0 END AS u{k}_{j}" for j in rest) + f" FROM {last}),\n"
+        last = f"u{k}"
+        if k < n - 1:
+            steps += f"s{k} AS (SELECT * REPLACE (" + ", ".join(f"g{i}_{j} - u{k}_{i} * g{k}_{j} AS g{i}_{j}" for i in rest if i < n for j in range(i, n + 1)) + f") FROM u{k}),\n"
+            last = f"s{k}"
+    back = [f"u{k}_{n}" + "".join(f" - u{k}_{j} * {m}{j}" for j in range(k + 1, size)) + f" AS {m}{k}" for m, size in (("short", len(base) + 1), ("long", n)) for k in reversed(range(size))]
+    yhat = lambda m, size: " + ".join(f"{m}{k} * {c}" for k, c in enumerate(z[:size]))
+    return f"""
+f AS (SELECT *, row_number() {W} AS rn FROM {source}),
+blocks AS (SELECT *, CASE WHEN rn <= {min_train} THEN -1 ELSE (rn - 1 - {min_train}) // {refit} END AS block FROM f),
+starts AS (SELECT DISTINCT entity, block FROM blocks WHERE block >= 0),
+gram AS (SELECT s.entity, s.block, {sums} FROM starts s JOIN f t ON t.entity = s.entity AND t.rn <= {min_train} + {refit} * s.block GROUP BY 1, 2),
+{steps}fits AS (SELECT entity, block, {', '.join(back)} FROM {last}),
+fc AS (SELECT {', '.join(['entity', 'd', 'rn', 'block', 'y', *kept])}, {yhat('short', len(base) + 1)} AS yhat_base, {yhat('long', n)} AS yhat_alt FROM blocks JOIN fits USING (entity, block)),""" + LOSSES
 
 
 def _number(x: float) -> str:
@@ -339,7 +370,7 @@ def walk_forward_ols_1var(spark, sf):
     return one_lag(b.prices(spark, sf)).select("entity", "d", F.col("rn").cast("long"), F.col("block").cast("long"), "y", "yhat_base", "yhat_alt")
 
 
-@query()
+@query(JOINED + HAR + _nested("har", feats.DAILY, feats.ATTENTION) + "out AS (SELECT * FROM fc)", "y yhat_base yhat_alt", "entity d rn block")
 def walk_forward_ols_har(spark, sf):
     f = feats.har_daily(joined(spark, sf))
     return wf.walk_forward_ols(f, KEYS, feats.DAILY, [*feats.DAILY, *feats.ATTENTION]).select("entity", "d", "rn", "block", "y", "yhat_base", "yhat_alt")
@@ -380,11 +411,12 @@ def clark_west_test(spark, sf):
     return inf.hac_mean_test(panel_losses(spark, sf), "cw_loss", KEYS)
 
 
-COMPARE = (
-    PANEL + _forecasts("panel") + BENCH + _hac("dm", "losses", "d_loss") + _hac("cw", "losses", "cw_loss")
+RESULTS = (
+    BENCH + _hac("dm", "losses", "d_loss") + _hac("cw", "losses", "cw_loss")
     + """sums AS (SELECT entity, count(*) AS n_oos, 1 - sum(e2_base) / sum((y - bench) ** 2) AS r2_oos_baseline, 1 - sum(e2_alt) / sum(e2_base) AS r2_oos_gain, avg(e2_base) AS m FROM bench GROUP BY entity),
     results AS (SELECT s.entity, n_oos, r2_oos_baseline, r2_oos_gain, dm.se / m AS r2_gain_se, dm.stat AS dm_stat, dm.p AS p_dm, cw.stat AS cw_stat, cw.p AS p_cw FROM sums s JOIN dm USING (entity) JOIN cw USING (entity)),"""
 )
+COMPARE = PANEL + _forecasts("panel") + RESULTS
 RESULT_COLUMNS = "r2_oos_baseline r2_oos_gain r2_gain_se dm_stat p_dm cw_stat p_cw"
 
 
@@ -557,36 +589,85 @@ def intraday_study(spark, sf):
     return studies.intraday_study(ts.align(pseudo_rv(spark, sf).select("entity", "d", "rv"), b.views(spark, sf), ["d"]))
 
 
+# --- Studies of the panel with events --------------------------------------
+
+
+def _event(prefix: str, flag: str, least: int = 10) -> str:
+    """Relation ``prefix``: the comparison on flagged rows alone, null below ``least`` of them."""
+    shown = ", ".join(f"CASE WHEN n >= {least} THEN {x} END AS {prefix}_{c}" for c, x in (("r2_gain", "g"), ("r2_se", "dm_se / m"), ("cw_stat", "cw_stat"), ("p_cw", "cw_p")))
+    return f"""
+{prefix}_rows AS (SELECT * FROM losses WHERE {flag}),""" + _hac(f"{prefix}_dm", f"{prefix}_rows", "d_loss") + _hac(f"{prefix}_cw", f"{prefix}_rows", "cw_loss") + f"""
+{prefix}_sums AS (SELECT entity, count(*) AS n, 1 - sum(e2_alt) / sum(e2_base) AS g, avg(e2_base) AS m FROM {prefix}_rows GROUP BY entity),
+{prefix}_all AS (SELECT s.*, x.se AS dm_se, c.stat AS cw_stat, c.p AS cw_p FROM {prefix}_sums s JOIN {prefix}_dm x USING (entity) JOIN {prefix}_cw c USING (entity)),
+{prefix} AS (SELECT entity, n AS n_{prefix}, {shown} FROM {prefix}_all),"""
+
+
+def _holm(name: str, source: str, p: str) -> str:
+    return f"""
+{name}_k AS (SELECT *, row_number() OVER (PARTITION BY {p} IS NULL ORDER BY {p}) AS _rk, count({p}) OVER () AS _m FROM {source}),
+{name} AS (SELECT * EXCLUDE (_rk, _m), CASE WHEN {p} IS NOT NULL THEN least(1, max((_m - _rk + 1) * {p}) OVER (PARTITION BY {p} IS NULL ORDER BY _rk ROWS UNBOUNDED PRECEDING)) END AS {p}_holm FROM {name}_k),"""
+
+
+def _shown(prefix: str) -> str:
+    return " ".join(f"{prefix}_{c}" for c in ("r2_gain", "r2_se", "cw_stat", "p_cw", "p_cw_holm"))
+
+
+def _pooled(name: str, source: str, lags: int, by: str = "") -> str:
+    """Relation ``name``: the mean adjusted loss tested over dates, weeks (``by``) or single rows."""
+    rows = f"SELECT '{name}' AS test, {by}, avg(cw_loss) AS v FROM {source} GROUP BY ALL" if by else f"SELECT '{name}' AS test, d, cw_loss AS v FROM {source}"
+    return f"{name}_v AS ({rows})," + _hac(name, f"{name}_v", "v", "test", "d" if "isoyear" not in by else "iy, iw", lags)
+
+
+WEEKS = "isoyear(d) AS iy, weekofyear(d) AS iw"
+FLAGGED = (
+    PANEL_JOINED + HAR + REACTIONS + "days AS (SELECT entity, d FROM har)," + EARN
+    + """hit_rows AS (SELECT r.*, h.d IS NOT NULL AS earn FROM har r LEFT JOIN hits h ON h.entity = r.entity AND h.d = r.d),
+    flagged AS (SELECT *, CAST(earn AS DOUBLE) AS event, bool_or(earn) OVER (PARTITION BY entity ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS earn3 FROM hit_rows),
+    idio AS (SELECT * REPLACE (views_l1 - avg(views_l1) OVER (PARTITION BY d) AS views_l1, views_l2 - avg(views_l2) OVER (PARTITION BY d) AS views_l2) FROM flagged),
+    ratio AS (SELECT entity, exp(avg(CASE WHEN earn THEN y END) - avg(CASE WHEN NOT earn THEN y END)) AS earn_rv_ratio FROM flagged GROUP BY entity),"""
+)
+EVENT_CONTROL, KEPT = [*feats.DAILY, "event"], ["earn", "earn3"]
+RAW_FORECASTS = FLAGGED + _nested("flagged", EVENT_CONTROL, feats.ATTENTION, KEPT)
+IDIO_FORECASTS = FLAGGED + _nested("idio", EVENT_CONTROL, feats.ATTENTION, KEPT)
+REPLICATION = IDIO_FORECASTS + RESULTS + _event("earn1", "earn") + "both_rows AS (SELECT * FROM results JOIN ratio USING (entity) LEFT JOIN earn1 USING (entity))," + _holm("stocks", "both_rows", "earn1_p_cw")
+
+
 def _marked_panel(spark, sf):
     f = feats.har_daily(panel_joined(spark, sf))
     return studies.mark_events(f, b.reaction_dates(b.announcements(spark, sf)))
 
 
-@query()
+@query(RAW_FORECASTS + RESULTS + _event("earn", "earn") + "both_rows AS (SELECT * FROM results LEFT JOIN earn USING (entity))," + _holm("h1", "both_rows", "p_cw") + _holm("h2", "h1", "earn_p_cw") + "out AS (SELECT * FROM h2)", f"{RESULT_COLUMNS} p_cw_holm {_shown('earn')}", "entity n_oos n_earn")
 def panel_study(spark, sf):
     return studies.panel_study(_marked_panel(spark, sf), KEYS, feats.DAILY)[0]
 
 
-@query()
+@query(RAW_FORECASTS + _pooled("pooled_cw", "losses", inf.LAGS, "d") + "out AS (SELECT * FROM pooled_cw)", "stat p", "test n")
 def panel_study_pooled(spark, sf):
     return studies.panel_study(_marked_panel(spark, sf), KEYS, feats.DAILY)[1]
 
 
-@query()
+@query(IDIO_FORECASTS + RESULTS + _event("earn1", "earn") + _event("earn3", "earn3") + "both_rows AS (SELECT * FROM results JOIN ratio USING (entity) LEFT JOIN earn1 USING (entity) LEFT JOIN earn3 USING (entity))," + _holm("h1", "both_rows", "p_cw") + _holm("h2", "h1", "earn1_p_cw") + _holm("h3", "h2", "earn3_p_cw") + "out AS (SELECT * FROM h3)", f"{RESULT_COLUMNS} p_cw_holm earn_rv_ratio {_shown('earn1')} {_shown('earn3')}", "entity n_oos n_earn1 n_earn3")
 def stock_study(spark, sf):
     return studies.stock_study(_marked_panel(spark, sf), feats.DAILY, True)[0]
 
 
-@query()
+@query(REPLICATION + "out AS (SELECT * FROM stocks)", f"{RESULT_COLUMNS} earn_rv_ratio {_shown('earn1')}", "entity n_oos n_earn1")
 def replication_stocks(spark, sf):
     return studies.replication(_marked_panel(spark, sf), feats.DAILY)[0]
 
 
-@query()
+@query(IDIO_FORECASTS + "one AS (SELECT * FROM losses WHERE earn), three AS (SELECT * FROM losses WHERE earn3)," + _pooled("all_days", "losses", inf.LAGS, "d")
+    + _pooled("reaction_day_stacked", "one", 0) + _pooled("reaction_day_by_week", "one", 0, WEEKS) + _pooled("three_days_stacked", "three", 0) + _pooled("three_days_by_week", "three", 0, WEEKS)
+    + "out AS (" + " UNION ALL ".join(f"SELECT test, n, stat, p FROM {t}" for t in ("all_days", "reaction_day_stacked", "reaction_day_by_week", "three_days_stacked", "three_days_by_week")) + ")", "stat p", "test n")
 def stock_study_pooled(spark, sf):
     return studies.stock_study(_marked_panel(spark, sf), feats.DAILY, True)[1]
 
 
-@query()
+@query(REPLICATION + "chosen AS (SELECT * FROM losses WHERE earn)," + _pooled("primary_test", "chosen", 0, WEEKS) + f"""
+    counts AS (SELECT count(*) AS n_events, count(DISTINCT (isoyear(d), weekofyear(d))) AS weeks FROM chosen),
+    gains AS (SELECT avg(earn1_r2_gain) AS mean_stock_r2_gain, CAST(count_if(earn1_r2_gain > 0) AS BIGINT) AS n_stocks_positive, count(earn1_p_cw) AS n_stocks FROM stocks),
+    v AS (SELECT n_events, CASE WHEN n_events >= 3 THEN weeks ELSE 0 END AS n_weeks, CASE WHEN n_events >= 3 THEN stat END AS stat, CASE WHEN n_events >= 3 THEN p END AS p, gains.* FROM counts LEFT JOIN primary_test ON true, gains),
+    out AS (SELECT *, coalesce(p < {universe.ALPHA} AND mean_stock_r2_gain > 0, false) AS success FROM v)""", "stat p mean_stock_r2_gain", "n_events n_weeks n_stocks_positive n_stocks success")
 def replication_verdict(spark, sf):
     return studies.replication(_marked_panel(spark, sf), feats.DAILY)[1]
